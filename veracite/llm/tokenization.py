@@ -33,9 +33,12 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, part: list[bytes]) -> None:
+        """Puts all words of a part into the younger generation."""
+        words = set(part).difference(self.young)
         if len(self.young) + len(words) > self.limit:
             self.old, self.young = self.young, {}
+            words = set(part)
         old = self.old.get
         new = []
         for w in words:
@@ -58,9 +61,9 @@ class WordEncoder:
         for i in range(0, len(words), 1 << 16):
             part = words[i : i + (1 << 16)]
             ids = list(map(self.young.get, part))
-            while None in ids:  # a second time only if a generation went
-                self._learn(list({w for w, x in zip(part, ids) if x is None}))
-                ids = list(map(self.young.get, part))
+            if None in ids:
+                self._learn(part)
+                ids = list(map(self.young.__getitem__, part))
             out += ids
         return b"".join(out)
 
