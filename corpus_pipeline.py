@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veracite.llm.exact_dedup import exact_groups
 from veracite.llm.packing import pack_documents
@@ -12,6 +13,7 @@ from veracite.llm.queries import WORD_TOKENIZER
 from veracite.llm.runtime import Workspace
 from veracite.llm.simhash import near_duplicates
 from veracite.llm.suffix_dedup import remove_repeats
+from veracite.llm.toxicity import scored, train
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,6 +23,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the others stay as they are."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return scored(docs, train(docs, labels), keep=True)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id stays."""
     return _without(docs, exact_groups(docs).where("not kept"))
@@ -36,8 +44,6 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = remove_repeats(docs, others, with_text=True)
     if "n_chars" in others:
-        from pyspark.sql import functions as F
-
         out = out.withColumn("n_chars", F.when(out["n_removed"] > 0, F.length("text").cast("long")).otherwise(out["n_chars"]))
     return out.select(*docs.columns)
 
@@ -47,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, WORD_TOKENIZER)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
 
 #: SQL has no fitted classifier, fingerprint links or best-fit sweep: the stages are tested against brute force instead.
 ORACLE_SQL = None
