@@ -72,14 +72,14 @@ def write_file(uri: str, data: bytes) -> None:
     files, path = file_system(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with files.open_output_stream(part) as out:
+    with files.open_output_stream(part, compression=None) as out:
         out.write(data)
     files.move(part, path)
 
 
 def read_file(uri: str) -> bytes:
     files, path = file_system(uri)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

@@ -39,8 +39,10 @@ _KIND = "vec_id long, dim int, cells binary, exact binary"
 def integers(rows: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
     """(vec_id, v: array<long>) of the rows that take part."""
     v = F.col(vector_column).cast("array<double>")
-    good = F.col(id_column).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    whole = F.transform(v, lambda x: F.when(F.abs(x) * scale > 2.0**53, F.raise_error(F.lit("a scaled component doesn't fit 53 bits")).cast("long")).otherwise(F.floor(x * F.lit(float(scale)))))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    good = F.col(id_column).isNotNull() & v.isNotNull() & F.forall(v, finite)
+    # Spark may compute this before it drops the other rows, so it raises for finite components only.
+    whole = F.transform(v, lambda x: F.when(finite(x) & (F.abs(x) * scale > 2.0**53), F.raise_error(F.lit("a scaled component doesn't fit 53 bits")).cast("long")).otherwise(F.floor(x * F.lit(float(scale)))))
     return rows.where(good).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"))
 
 

@@ -2,7 +2,8 @@
 
 Confirmed toxic documents are the positive sample, documents whatever their label are the unlabelled sample, and the
 class prior p is the share of toxic rows among the labels that may be learnt from. A linear classifier f over binary
-features (words, and their first 4, 5 and 6 bytes) is trained in numpy on the non-negative risk
+features (words and their first 4, 5 and 6 bytes, each as: occurs; is dense, that is occurs twice at least and once in
+every 128 words) is trained in numpy on the non-negative risk
 
     p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)]),   l(z) = log(1 + exp(-z)),
 
@@ -34,15 +35,28 @@ from .runtime import prepare, texts
 #: Most documents of each sample that a fit takes, and most features it keeps.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 6000
 THRESHOLD = 0.3
+#: Bytes of the stems; words for each of which something dense occurs at least once; and what a feature must have: its
+#: share of the positive sample is so many times that of the unlabelled one, and so great is the chi-square of the two.
+STEMS, SPREAD, LIFT, APART = (4, 5, 6), 128, 2.0, 20
 _SPLIT = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 
 
+def _places(text: bytes) -> tuple[Counter, float]:
+    """How often each word occurs, and the least count at which something is dense."""
+    counts = Counter(text.translate(_SPLIT).split())
+    return counts, max(2, counts.total() / SPREAD)
+
+
 def features(text: bytes) -> set[bytes]:
-    words = set(text.translate(_SPLIT).split())
-    found = set(words)
-    for n in (4, 5, 6):
-        found.update([b"%d:" % n + w[:n] for w in words if len(w) > n])
-    return found
+    """Words, stems (4:, 5: or 6: in front), and those that are dense (+ in front)."""
+    counts, dense = _places(text)
+    for n in STEMS:
+        stems: Counter = Counter()
+        for w, k in list(counts.items()):
+            if len(w) > n and w[1:2] != b":":
+                stems[b"%d:" % n + w[:n]] += k
+        counts.update(stems)
+    return counts.keys() | {b"+" + x for x, k in counts.items() if k >= dense}
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -54,15 +68,25 @@ class Model:
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.words = {k for k in weights if k[1:2] != b":"}
-        self.stems = {n: {k[2:]: w for k, w in weights.items() if k[:2] == b"%d:" % n} for n in (4, 5, 6)}
+        self.plain: dict[int, dict[bytes, tuple[float, float]]] = {n: {} for n in (0, *STEMS)}  # weights of once and dense
+        for x in {x.removeprefix(b"+") for x in weights}:
+            n = int(x[:1]) if x[1:2] == b":" else 0
+            self.plain[n][x[2:] if n else x] = weights.get(x, 0.0), weights.get(b"+" + x, 0.0)
 
     def score(self, text: bytes) -> float:
-        words = set(text.translate(_SPLIT).split())
-        z = self.bias + sum(self.weights[w] for w in words & self.words)
-        for n, stems in self.stems.items():
-            if stems:
-                z += sum(stems[s] for s in {w[:n] for w in words if len(w) > n} & stems.keys())
+        counts, dense = _places(text)
+        z = self.bias
+        for n, known in self.plain.items():
+            if n:
+                own: Counter = Counter()
+                for w in counts:
+                    if w[:n] in known and len(w) > n:
+                        own[w[:n]] += counts[w]
+            else:
+                own = Counter({w: counts[w] for w in counts.keys() & known.keys()})
+            for x in sorted(own):
+                once, often = known[x]
+                z += once + often * (own[x] >= dense)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -78,8 +102,8 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
         both = (in_p[x] + in_u[x]) / (n_p + n_u)
         return (a - b) ** 2 / (both * (1 - both) + 1e-9) * n_p * n_u / (n_p + n_u) if a > b else 0.0
 
-    least = max(3, n_p // 1000)
-    chosen = sorted((x for x in in_p if in_p[x] >= least and apart(x) > 15), key=lambda x: (-apart(x), x))[:FEATURES]
+    least = max(3, n_p // 40)
+    chosen = sorted((x for x in in_p if in_p[x] >= least and in_p[x] / n_p > LIFT * in_u[x] / n_u and apart(x) > APART), key=lambda x: (-apart(x), x))[:FEATURES]
     at = {x: i for i, x in enumerate(chosen)}
 
     def rows(sample):
@@ -135,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     def sample(frame: DataFrame, most: int) -> list[set[bytes]]:
         rows = frame.select("doc_id", "text").mapInArrow(sets, "found binary").limit(most).collect()  # bounded by most
-        return [set(bytes(r.found).split(b"\n")) if r.found else set() for r in rows]
+        return [set(x.split(b"\n")) if x else set() for x in sorted({bytes(r.found or b"") for r in rows})]  # copies count once
 
     toxic = own.where((F.col("toxic") > 0) & share(int(positives * 0.9), n_toxic)).select("doc_id")
     positive = sample(docs.where(may).join(toxic, "doc_id", "left_semi"), positives)

@@ -17,7 +17,7 @@ searching keep one state per position. Weights of neighbours are computed when f
 No piece of such models holds U+2581 after another character, so no arc crosses the start of a word: inputs are composed
 word by word, and the paths of words are kept, a bounded number in two generations. Where a model has such a piece,
 whole texts are composed instead. Decoding follows the transducers backwards: ids to characters, runs of byte pieces to
-characters (U+FFFD for each byte that is part of none), U+2581 to a space, and the first space goes.
+characters (U+FFFD for each byte that is part of none), U+2581 to a space; the first piece loses the one in front.
 
 Null text counts as empty and has no ids. Models with other normalisation rules than the identity, unigram models and
 models with user-defined pieces raise an error.
@@ -212,6 +212,7 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         out: list[str] = []
         raw = bytearray()
+        first = self.dummy
 
         def spell() -> None:
             i = 0
@@ -232,18 +233,17 @@ class Transducer:
             p, _, kind = self.pieces[i]
             if kind == BYTE:
                 raw.append(int(p[3:5], 16))
+                first = False
                 continue
             if raw:
                 spell()
-            if kind == UNKNOWN:
-                out.append(" ⁇ ")
-            elif kind != CONTROL:
-                out.append(p)
+            if kind == CONTROL:
+                continue
+            out.append(" ⁇ " if kind == UNKNOWN else p[1:] if first and p.startswith(SPACE) else p)
+            first = False
         spell()
         text = "".join(out)
-        if self.escape:
-            text = text.replace(SPACE, " ")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return text.replace(SPACE, " ") if self.escape else text
 
 
 @functools.lru_cache(2)
