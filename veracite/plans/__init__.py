@@ -1,9 +1,12 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the SQL that they are held against."""
+
+from .oracle import ORACLE
+from .queries import QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
