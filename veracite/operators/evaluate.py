@@ -15,7 +15,7 @@ TOLERANCE = 0.02
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions from a file of JSON lines; blank lines don't count."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", schemas.GOLDEN).alias("g"), F.expr("map_keys(from_json(value, 'map<string,string>'))").alias("keys")).select("g.*")
+    return lines.select(F.from_json("value", schemas.GOLDEN).alias("g")).select("g.*")
 
 
 def matches(matcher: Column, citations: Column, source_ids: Column) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
 from ..sources.files import exists
 from .chunk import structural
 from .dedup import deduplicate
@@ -35,6 +36,8 @@ def hashed_words(texts: list[str], dim: int = DIM) -> np.ndarray:
 def with_vectors(df: DataFrame, text: str, column: str = "embedding", encoder: Encoder = hashed_words, batch: int = 8) -> DataFrame:
     """df with the vectors of a text column, encoded in Arrow batches; a null text counts as empty."""
 
+    reachable(df.sparkSession)
+
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             texts = s.fillna("").tolist()

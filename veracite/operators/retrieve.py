@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import finite
+from ..session import reachable
 from ..storage import checkpointed, first_rows
 
 BLOCK = 2048
@@ -41,6 +42,7 @@ def _blocks(queries: DataFrame, keys: list[str]) -> Iterator[tuple[list[tuple],
 
 def _scan(index: DataFrame, vectors: list, k: int, column: str) -> DataFrame:
     """(q, ord, score): each task's k best rows of each question, q its place in the block."""
+    reachable(index.sparkSession)
     groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {len(v) for v in vectors}:
         at = np.array([i for i, v in enumerate(vectors) if len(v) == d])

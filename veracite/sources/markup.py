@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import HTML_DROPPED
+from ..session import reachable
 from .files import whole_texts
 
 
@@ -48,6 +49,7 @@ def section_paragraphs(xml: str, source_id: str) -> Iterator[tuple]:
 
 def parts(spark: SparkSession, folder: str, skip_broken: bool = False) -> DataFrame:
     """PARAGRAPH rows of all .xml files of a folder. A file that isn't well-formed raises, or is left out with skip_broken."""
+    reachable(spark)
     kinds = [pa.int32() if x.split()[1] == "int" else pa.string() for x in schemas.PARAGRAPH.split(", ")]
     names = [x.split()[0] for x in schemas.PARAGRAPH.split(", ")]
 
@@ -104,6 +106,8 @@ def pdf_to_text(data: bytes) -> str:
 def pdf_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of a folder's .pdf files, extracted on the executors, file by file."""
 
+    reachable(spark)
+
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf_to_text(x) for x in b.column(1).to_pylist()], pa.string())], ["path", "text"])
