@@ -21,6 +21,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, texts
+from .runtime import Workspace, texts
 
 #: Most documents of each sample that a fit takes, and most features it keeps.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 6000
@@ -90,30 +91,34 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, rounds: int = 300, seed: int = 7) -> Model:
-    """Chooses the features that set the samples apart, then descends the non-negative risk (Adam, whole samples)."""
-    if not positive or not unlabelled:
-        return Model({}, -60.0)
-    in_p, in_u = Counter(x for s in positive for x in s), Counter(x for s in unlabelled for x in s)
-    n_p, n_u = len(positive), len(unlabelled)
+def choose(counts: list[tuple[bytes, int, int]], n_p: int, n_u: int) -> list[bytes]:
+    """The features that set the samples apart, best first, from (feature, positive documents, unlabelled documents)."""
 
-    def apart(x: bytes) -> float:  # chi-square of the two shares
-        a, b = in_p[x] / n_p, in_u[x] / n_u
-        both = (in_p[x] + in_u[x]) / (n_p + n_u)
-        return (a - b) ** 2 / (both * (1 - both) + 1e-9) * n_p * n_u / (n_p + n_u) if a > b else 0.0
+    def apart(a: int, b: int) -> float:  # chi-square of the two shares
+        both = (a + b) / (n_p + n_u)
+        return (a / n_p - b / n_u) ** 2 / (both * (1 - both) + 1e-9) * n_p * n_u / (n_p + n_u)
 
-    least = max(3, n_p // 40)
-    chosen = sorted((x for x in in_p if in_p[x] >= least and in_p[x] / n_p > LIFT * in_u[x] / n_u and apart(x) > APART), key=lambda x: (-apart(x), x))[:FEATURES]
-    at = {x: i for i, x in enumerate(chosen)}
+    found = [(apart(a, b), x) for x, a, b in counts if a >= least(n_p) and a / n_p > LIFT * b / n_u]
+    return [x for d, x in sorted(found, key=lambda f: (-f[0], f[1])) if d > APART][:FEATURES]
+
+
+def least(n_p: int) -> int:
+    """Positive documents that a feature must have."""
+    return max(3, n_p // 40)
 
-    def rows(sample):
-        lists = [sorted(at[x] for x in s if x in at) for s in sample]
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64), len(lists)
 
-    (rp, cp, _), (ru, cu, _) = rows(positive), rows(unlabelled)
-    k = len(chosen)
-    w, bias = np.zeros(k + 1), math.log(prior / (1 - prior)) if 0 < prior < 1 else -3.0
-    w[k] = bias
+def descend(positive: list[list[int]], unlabelled: list[list[int]], chosen: list[bytes], prior: float, rounds: int = 300) -> Model:
+    """Descends the non-negative risk (Adam, whole samples) over documents given by the places of their chosen features."""
+    n_p, n_u, k = len(positive), len(unlabelled), len(chosen)
+    if not n_p or not n_u:
+        return Model({}, -60.0)
+
+    def flat(lists):
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
+
+    (rp, cp), (ru, cu) = flat(positive), flat(unlabelled)
+    w = np.zeros(k + 1)
+    w[k] = math.log(prior / (1 - prior)) if 0 < prior < 1 else -3.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -135,12 +140,27 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
         g[:k] += 1e-4 * w[:k]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model({x: float(w[i]) for x, i in at.items()}, float(w[k]))
+    return Model({x: float(w[i]) for i, x in enumerate(chosen)}, float(w[k]))
+
+
+def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> Model:
+    """A model from samples in memory."""
+    if not positive or not unlabelled:
+        return Model({}, -60.0)
+    in_p, in_u = Counter(x for s in positive for x in s), Counter(x for s in unlabelled for x in s)
+    chosen = choose([(x, n, in_u[x]) for x, n in in_p.items()], len(positive), len(unlabelled))
+    at = {x: i for i, x in enumerate(chosen)}
+    rows = [[sorted(at[x] for x in s if x in at) for s in sample] for sample in (positive, unlabelled)]
+    return descend(rows[0], rows[1], chosen, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """A model from documents (doc_id, text) and labels (doc_id, toxic)."""
-    prepare(docs.sparkSession)
+    """A model from documents (doc_id, text) and labels (doc_id, toxic).
+
+    Features are counted on the executors; the driver gets the counts of those that could be chosen, and the sampled
+    documents as lists of places among the chosen ones.
+    """
+    ws = Workspace(docs.sparkSession, "toxicity")
     may = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
     own = labels.where(may & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = own.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0))).first()
@@ -152,18 +172,42 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def share(most: int, of: int):
         return F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < min(parts, math.ceil(parts * most / max(1, of)))
 
-    def sets(batches):
+    def digests(batches):
         for b in batches:
-            found = [sorted(features(t)) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(x) for x in found], pa.binary())], ["found"])
-
-    def sample(frame: DataFrame, most: int) -> list[set[bytes]]:
-        rows = frame.select("doc_id", "text").mapInArrow(sets, "found binary").limit(most).collect()  # bounded by most
-        return [set(x.split(b"\n")) if x else set() for x in sorted({bytes(r.found or b"") for r in rows})]  # copies count once
+            found = [b"\n".join(sorted(features(t))) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(found, pa.binary()), pa.array([hashlib.sha256(x).digest() for x in found], pa.binary())], ["kind", "found", "digest"])
 
     toxic = own.where((F.col("toxic") > 0) & share(int(positives * 0.9), n_toxic)).select("doc_id")
-    positive = sample(docs.where(may).join(toxic, "doc_id", "left_semi"), positives)
-    return fit(positive, sample(docs.where(may & share(int(unlabelled * 0.9), n_docs)), unlabelled), n_toxic / n)
+    taken = [docs.where(may).join(toxic, "doc_id", "left_semi"), docs.where(may & share(int(unlabelled * 0.9), n_docs))]
+    taken = [d.select("doc_id", "text", F.lit(i).alias("kind")) for i, d in enumerate(taken)]
+    # Copies count once.
+    sample = taken[0].union(taken[1]).mapInArrow(digests, "kind int, found binary, digest binary").dropDuplicates(["kind", "digest"])
+    sample = ws.table(sample, "sample")
+    sizes = {r.kind: r.n for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = sizes.get(0, 0), sizes.get(1, 0)
+    if not n_p or not n_u:
+        return Model({}, -60.0)
+
+    def counted(batches):
+        for b in batches:
+            seen: dict[bytes, list[int]] = {}
+            for kind, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in found.split(b"\n") if found else ():
+                    seen.setdefault(x, [0, 0])[kind] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["x", "p", "u"])
+
+    counts = sample.select("kind", "found").mapInArrow(counted, "x binary, p long, u long").groupBy("x").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    could = counts.where((F.col("p") >= least(n_p)) & (F.col("p") / n_p > F.lit(LIFT) * F.col("u") / n_u))
+    chosen = choose([(bytes(r.x), r.p, r.u) for r in could.collect()], n_p, n_u)  # features of a bounded sample
+    at = {x: i for i, x in enumerate(chosen)}
+
+    def places(batches):
+        for b in batches:
+            rows = [[at[x] for x in found.split(b"\n") if x in at] if found else [] for found in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.list_(pa.int32()))], ["kind", "digest", "places"])
+
+    listed = sample.mapInArrow(places, "kind int, digest binary, places array<int>").orderBy("kind", "digest").collect()
+    return descend([sorted(r.places) for r in listed if r.kind == 0], [sorted(r.places) for r in listed if r.kind == 1], chosen, n_toxic / n)
 
 
 def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
