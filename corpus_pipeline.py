@@ -11,7 +11,7 @@ from veracite.llm.exact_dedup import exact_groups
 from veracite.llm.packing import pack_documents
 from veracite.llm.queries import WORD_TOKENIZER
 from veracite.llm.runtime import Workspace
-from veracite.llm.simhash import near_duplicates
+from veracite.llm.simhash import similar_documents
 from veracite.llm.suffix_dedup import remove_repeats
 from veracite.llm.toxicity import scored, train
 
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs).where("component_id <> doc_id"))
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id stays."""
+    return _without(docs, similar_documents(docs, 0.8, 5).where("component_id <> doc_id"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,3 +184,64 @@ def test_suffix_odd_rows(spark):
     t = "0123456789" * 6
     got = suffix_dedup.remove_repeats(frame(spark, [(None, t), (1, t), (1, t), (0, None)])).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in got) == [(-1, 0), (0, 0), (1, 60), (1, 60)]
+
+
+def test_bucket_links_connect_like_brute_force():
+    import numpy as np
+
+    rng = np.random.RandomState(4)
+    for small in (6, 40):
+        key = np.sort(rng.randint(0, 3, small * 3))
+        base = rng.randint(0, 2**62, 4)
+        fp = np.array([[base[rng.randint(4)] ^ (1 << rng.randint(62)) ^ (1 << rng.randint(62))] for _ in key], np.uint64)
+        a, b = simhash.bucket_links(key, fp, 3)
+        comp = list(range(len(key)))
+
+        def find(i, comp):
+            while comp[i] != i:
+                i = comp[i]
+            return i
+
+        want = list(range(len(key)))
+        for i, j in zip(a.tolist(), b.tolist()):
+            assert key[i] == key[j] and bin(int(fp[i, 0] ^ fp[j, 0])).count("1") <= 3
+            comp[max(find(i, comp), find(j, comp))] = min(find(i, comp), find(j, comp))
+        for i in range(len(key)):
+            for j in range(i):
+                if key[i] == key[j] and bin(int(fp[i, 0] ^ fp[j, 0])).count("1") <= 3:
+                    want[max(find(i, want), find(j, want))] = min(find(i, want), find(j, want))
+        assert [find(i, comp) for i in range(len(key))] == [find(i, want) for i in range(len(key))]
+
+
+def jaccard(x, y):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.lower().split(), y.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, family = [], {}
+    for f in range(40):
+        base = new(rng.choice([60, 300, 900]))
+        for c in range(rng.choice([1, 2, 5])):
+            w = list(base)
+            for _ in range(c and max(1, len(w) // 150)):
+                w[rng.randrange(len(w))] = "edit"
+            i = 1 + len(rows)
+            rows.append((i, " ".join(w)))
+            family.setdefault(f, []).append(i)
+    rows += [(900 + i, " ".join(new(200))) for i in range(60)] + [(2000, None), (2001, ""), (2002, "a b"), (None, rows[0][1]), (1, rows[0][1])]
+    got = {}
+    for r in simhash.similar_documents(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.component_id)
+    assert got[None] == [None] and len(got[1]) == 2 and got[2000] == got[2001] == [2000] and got[2002] == [2002]
+    text = dict(rows)
+    for members in family.values():
+        for i in members[1:]:
+            if jaccard(text[members[0]], text[i]) >= 0.85:
+                assert got[i] == [members[0]]
+        assert {x for i in members for x in got[i]} <= set(members)
+    assert all(got[900 + i] == [900 + i] for i in range(60))
+    assert simhash.similar_documents(frame(spark, [])).count() == 0

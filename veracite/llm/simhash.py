@@ -10,6 +10,13 @@ ball (radius half the limit) around each segment, the other segments being kept.
 always meet under a common value, and no more than 65 distinct ones can meet under one, so no bucket grows with the
 input. Those that meet are chained in order and their complete distances verified; chains lose no component.
 
+near_duplicates links at a distance, as above. similar_documents takes a similarity instead: fingerprints of 256 bits over
+distinct shingles of five words, whose share of differing bits estimates the angle between two texts' shingle sets. Its
+index has a table for each of ten segments of 25 bits, posted under the ball of radius 1 around the segment, so that
+texts meet whose segments differ by up to two bits; in each bucket 64 bits are compared first, and the complete distances
+of those left decide. Buckets are searched breadth first, each text against those not yet reached: no link between texts
+is lost, and a bucket of like texts costs little more than its length. A bucket's rows, 40 bytes each, are held by one task.
+
 doc_id null: the row gets its fingerprint, no links and a null component_id. Rows that repeat a doc_id each keep their
 own fingerprint's component. An empty table gives an empty result. Other columns are ignored.
 """
@@ -87,3 +94,146 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     joined = ws.table(joined, "components")
     out = prints.join(joined, prints["fp"] == joined["of"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+#: Of the wide fingerprint: bits, segments and their bits, and how far two may differ in the 64 bits compared first.
+WIDE, SEGMENTS, SEGMENT, FIRST = 256, 10, 25, 20
+#: Buckets of up to so many rows are compared by shifted arrays, larger ones breadth first.
+SMALL = 6
+
+
+def limit_of(similarity: float) -> int:
+    """Differing bits of WIDE up to which two texts count as alike: what their Jaccard similarity makes likely, and one
+    standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
+
+
+def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
+    """256 bits over the distinct shingles of a text; all zero without words."""
+    w = text.lower().split()
+    if not w:
+        return bytes(WIDE // 8)
+    shingles = set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) >= words else {b" ".join(w)}
+    hash128 = xxhash.xxh3_128_digest
+    data = b"".join([hash128(s, seed) for s in shingles for seed in (42, 43)])
+    h = np.frombuffer(data, np.uint8).reshape(-1, WIDE // 8)
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(h), BLOCK // 4):
+        ones += np.unpackbits(h[i : i + BLOCK // 4], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def _postings(batches):
+    """(key, node, first) of every value of every ball; first: the 64 bits compared first."""
+    masks = np.concatenate([[0], 1 << np.arange(SEGMENT)]).astype(np.int64)
+    for b in batches:
+        node = b.column(0).to_numpy()
+        for i in range(0, len(node), 500):
+            fp = np.frombuffer(b"".join(b.column(1).slice(i, 500).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+            bits = np.unpackbits(fp, axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT].reshape(len(fp), SEGMENTS, SEGMENT)
+            value = bits.astype(np.int64) @ (1 << np.arange(SEGMENT)) | np.arange(SEGMENTS) << 32
+            keys = (value[:, :, None] ^ masks).reshape(-1)
+            each = SEGMENTS * len(masks)
+            first = fp[:, :8].copy().view(np.int64)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(node[i : i + 500], each)), pa.array(np.repeat(first, each))], ["key", "node", "first"])
+
+
+def tree(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever rows of fp (uint64, one or more columns) are reached by steps of at most `most` bits."""
+    a, b = [], []
+    left = np.arange(len(fp))
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            at = reached.pop()
+            near = np.bitwise_count(fp[left] ^ fp[at]).sum(1) <= most
+            if near.any():
+                found = left[near]
+                a.append(np.full(len(found), at))
+                b.append(found)
+                reached += found.tolist()
+                left = left[~near]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def bucket_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the buckets of sorted keys."""
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edges)
+    large = np.repeat(size > SMALL, size)
+    a, b = [], []
+    for t in range(1, SMALL):
+        i = np.flatnonzero((key[t:] == key[:-t]) & ~large[t:])
+        i = i[np.bitwise_count(fp[i] ^ fp[i + t]).sum(1) <= most]
+        a.append(i)
+        b.append(i + t)
+    for start, n in zip(edges[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
+        x, y = tree(fp[start : start + n], most)
+        a.append(start + x)
+        b.append(start + y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _by_bucket(batches, take):
+    """take(key, node, fingerprints) over sorted batches, whole buckets at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def whole(last: bool):
+        nonlocal held, n
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = t.column(0).to_numpy()
+        end = len(key) if last else int(np.searchsorted(key, key[-1]))
+        held, n = [t.slice(end)], len(key) - end
+        if end:
+            t = t.slice(0, end)
+            x = t.column(2)
+            fp = np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(end, -1) if pa.types.is_binary(x.type) else x.to_numpy().view(np.uint64)[:, None]
+            yield take(key[:end], t.column(1).to_numpy(), fp)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+            if n >= BLOCK * 4 and held[0].column(0)[0].as_py() != b.column(0)[b.num_rows - 1].as_py():
+                yield from whole(False)
+    if n:
+        yield from whole(True)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, component_id): one row per document, with the smallest doc_id that is reached by links of such similarity."""
+    most = limit_of(similarity)
+    ws = Workspace(docs.sparkSession, "similar")
+
+    def prints(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, words) for t in texts(b)], pa.binary())], ["doc_id", "fp"])
+
+    rows = ws.table(docs.select("doc_id", "text").mapInArrow(prints, "doc_id long, fp binary"), "prints")
+    nodes = ws.table(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"), "nodes")
+
+    def candidates(batches):
+        def take(key, node, first):
+            hit = np.unique(np.concatenate(bucket_links(key, first, FIRST)))
+            return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], ["key", "node"])
+
+        yield from _by_bucket(batches, take)
+
+    def linked(batches):
+        def take(key, node, fp):
+            a, b = bucket_links(key, fp, most)
+            pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        yield from _by_bucket(batches, take)
+
+    posted = nodes.mapInArrow(_postings, "key long, node long, first long").repartition("key").sortWithinPartitions("key", "node")
+    found = ws.table(posted.mapInArrow(candidates, "key long, node long"), "candidates")
+    met = found.join(nodes, "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+    labels = components(ws, ws.table(met.mapInArrow(linked, "a long, b long").where("a <> b").distinct(), "links"))
+    joined = nodes.join(labels, "node", "left").select(F.col("fp").alias("of"), F.coalesce("label", "node").alias("component_id"))
+    out = rows.join(ws.table(joined, "components"), rows["fp"] == F.col("of"), "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
