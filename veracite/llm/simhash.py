@@ -176,6 +176,23 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same nodes: each one to the least it reaches. Like texts meet in many buckets; this keeps one
+    link for each, and mostly the same one whatever the buckets."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        label = label[label]
+        if (label == before).all():
+            far = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[label[far]], nodes[far]
+
+
 def _by_bucket(batches, take):
     """take(key, node, fingerprints) over sorted batches, whole buckets at a time."""
     held: list[pa.RecordBatch] = []
@@ -225,15 +242,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5)
     def linked(batches):
         def take(key, node, fp):
             a, b = bucket_links(key, fp, most)
-            pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(node[a], node[b])], ["a", "b"])
 
         yield from _by_bucket(batches, take)
 
+    def thinned(batches):  # tasks name different least texts for one that many buckets hold
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(b.column(0).to_numpy(), b.column(1).to_numpy())], ["a", "b"])
+
     posted = nodes.mapInArrow(_postings, "key long, node long, first long").repartition("key").sortWithinPartitions("key", "node")
     found = ws.table(posted.mapInArrow(candidates, "key long, node long"), "candidates")
     met = found.join(nodes, "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-    labels = components(ws, ws.table(met.mapInArrow(linked, "a long, b long").where("a <> b").distinct(), "links"))
+    links = met.mapInArrow(linked, "a long, b long").distinct().repartition("b").sortWithinPartitions("b", "a")
+    labels = components(ws, ws.table(links.mapInArrow(thinned, "a long, b long").distinct(), "links"))
     joined = nodes.join(labels, "node", "left").select(F.col("fp").alias("of"), F.coalesce("label", "node").alias("component_id"))
     out = rows.join(ws.table(joined, "components"), rows["fp"] == F.col("of"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
