@@ -97,6 +97,29 @@ def test_scores_follow_word_order(spark):
     assert better == n
 
 
+def test_vocabulary_follows_the_corpus_and_no_words_share_ids(spark):
+    ws = pseudo_lm.Workspace(spark, "test")
+    sizes = [len(pseudo_lm.vocabulary(spark.read.parquet(f"{d}/documents.parquet"), ws)[0].ids) for d in (SMALL, MIDDLE)]
+    assert sizes[1] > 1.5 * sizes[0] > 1000, sizes
+    words = pseudo_lm.Words([(b"the", 9), (b"then", 4)])
+    rng = random.Random(2)
+    rare = {bytes(rng.choice(b"abthen\xc3\xa9") for _ in range(rng.randrange(1, 12))) for _ in range(20_000)}
+    assert len({tuple(words(w)) for w in rare}) == len(rare)
+    assert words(b"ab c").tolist() != words(b"abc").tolist() and words(b"qx").max() < words.size
+    rows = [(i, " ".join(["the"] * 20 + [w])) for i, w in enumerate(["xqzvk", "thenthe", "zzkqx", "abthe"])]
+    got = pseudo_lm.pseudo_likelihood(docs(spark, rows * 8)).collect()
+    assert len({r.log_likelihood for r in got}) == 4
+
+
+def test_probabilities_of_any_number_of_ids_add_to_one():
+    for n in (1, 2, 3, 600, 931):
+        size = pseudo_lm.whole(n)
+        model = pseudo_lm.start(counts=np.arange(size))
+        around = np.full((4, 1), size)
+        assert size >= n and pseudo_lm.unpack(pseudo_lm.pack(model), size)["w"].shape == model["w"].shape
+        assert abs(sum(math.exp(pseudo_lm.log_probabilities(model, np.array([i]), around)[0]) for i in range(size)) - 1) < 1e-3
+
+
 def test_lm_odd_rows(spark):
     got = pseudo_lm.pseudo_likelihood(docs(spark, [(1, None), (None, "a b c"), (3, ""), (3, "a b"), (3, "a b")])).collect()
     assert len(got) == 5 and all(math.isfinite(r.log_likelihood) for r in got)

@@ -3,22 +3,27 @@
 A bidirectional window network predicts every token from the tokens on both sides, never from itself; the log
 probabilities of a document's tokens, each given its two left and two right neighbours, are summed to its score.
 
-    tokens    words, lower-cased for A-Z, split at ASCII white space; the most frequent ones over all documents have
-              ids of their own, the others share hashed ids. Places beyond a document's ends have the padding id.
+    tokens    words, lower-cased for A-Z, split at ASCII white space. Each word counted sqrt(all words) / RARE times or
+              more over all documents has an id of its own, so the vocabulary grows with the corpus, about as the root of
+              it. Any other word is spelled in pieces of one to three bytes, each a token: no two words share ids, and
+              texts that differ in a word differ in tokens. A word's first piece has other ids than the following ones.
+              Places beyond a document's ends have the padding id.
     network   an embedding for each neighbour's id and place, summed; tanh; softmax over classes of ids, then over the
               ids of the class, so that a token costs two short softmaxes and the probabilities of all ids add to 1.
+              Classes are as many as the root of the ids. The biases start from the counts of all ids.
     training  in numpy, by steps over blocks of tokens. Every document is trained on: each task trains a copy over its
-              partition, and the copies are averaged, weighted by tokens, in a tree of fan-in 16, so no task and not
-              the driver holds more than 16 copies. Word counts and copies are gathered from the whole corpus and grow
+              partition, and the copies are averaged, weighted by tokens, in a tree of fan-in 4, so no task and not
+              the driver holds more than 4 copies. Word counts and copies are gathered from the whole corpus and grow
               with it.
 
-Null text counts as empty; a document without tokens has score 0, per_token 0. Rows with null or repeated doc_ids are
+Null text counts as empty; a document without tokens has score 0, per_token 0. n_tokens counts
+pieces. Rows with null or repeated doc_ids are
 scored each. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -29,25 +34,48 @@ from pyspark.sql import functions as F
 
 from .runtime import Workspace, texts
 
-#: Ids, of which the last HASHED are shared by the rarer words; ids in a class; width of the network; tokens in a step.
-IDS, HASHED, CLASS, WIDTH, STEP = 1024, 256, 32, 16, 8192
+#: Ids of a model of no corpus; width of the network; tokens in a step; what divides the root of all words to the least
+#: count of a word with its own id; pieces of two and three bytes; copies averaged at once.
+IDS, WIDTH, STEP, RARE, PIECES, FAN = 1024, 16, 8192, 16, 256, 4
 PAD = IDS
 SIDES = (-2, -1, 1, 2)
-_SHAPES = {"e": (len(SIDES), IDS + 1, WIDTH), "b": (WIDTH,), "c": (WIDTH, IDS // CLASS), "cb": (IDS // CLASS,), "w": (IDS // CLASS, WIDTH, CLASS), "wb": (IDS // CLASS, CLASS)}
 
 
-def start(seed: int = 11) -> dict[str, np.ndarray]:
+def shapes(ids: int) -> dict[str, tuple[int, ...]]:
+    """Of the arrays of a model of so many ids, which fill whole classes; the last embedding is the padding's."""
+    size = class_size(ids)
+    return {"e": (len(SIDES), ids + 1, WIDTH), "b": (WIDTH,), "c": (WIDTH, ids // size), "cb": (ids // size,), "w": (ids // size, WIDTH, size), "wb": (ids // size, size)}
+
+
+def class_size(ids: int) -> int:
+    size = math.isqrt(ids)
+    return size if ids % size == 0 else size + 1
+
+
+def whole(ids: int) -> int:
+    """The ids that fill whole classes: the least square or product of neighbours that holds so many."""
+    size = math.isqrt(max(ids, 1) - 1) + 1
+    return size * (size - 1) if size > 1 and size * (size - 1) >= ids else size * size
+
+
+def start(seed: int = 11, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """A model before training, from the counts of all ids or of IDS equal ones."""
     rng = np.random.RandomState(seed)
-    return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0) * (k not in ("cb", "wb"))).astype(np.float32) for k, s in _SHAPES.items()}
+    model = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0) * (k not in ("cb", "wb"))).astype(np.float32) for k, s in shapes(IDS if counts is None else len(counts)).items()}
+    if counts is not None:
+        n = (counts + 0.5).reshape(model["wb"].shape)
+        model["cb"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
+        model["wb"] = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+    return model
 
 
 def pack(model: dict[str, np.ndarray]) -> bytes:
-    return b"".join(model[k].astype("<f4").tobytes() for k in _SHAPES)
+    return b"".join(model[k].astype("<f4").tobytes() for k in shapes(IDS))
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
+def unpack(data: bytes, ids: int = IDS) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in shapes(ids).items():
         n = int(np.prod(s))
         out[k] = np.frombuffer(data, "<f4", n, at).reshape(s).copy()
         at += 4 * n
@@ -72,13 +100,14 @@ def _hidden(model: dict, around: np.ndarray) -> np.ndarray:
 def log_probabilities(model: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of each token, given its neighbours (one row for each side)."""
     h = _hidden(model, around)
-    group, place = ids // CLASS, ids % CLASS
+    classes, size = model["wb"].shape
+    group, place = ids // size, ids % size
     n = np.arange(len(ids))
     z = h @ model["c"] + model["cb"]
     out = z[n, group] - _softmax(z)[1]
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(IDS // CLASS + 1))
-    for g in range(IDS // CLASS):
+    ends = np.searchsorted(group[order], np.arange(classes + 1))
+    for g in range(classes):
         own = order[ends[g] : ends[g + 1]]
         if len(own):
             z = h[own] @ model["w"][g] + model["wb"][g]
@@ -90,23 +119,24 @@ def step(model: dict, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One step down the mean negative log probability of a block; embeddings of rare ids take relatively more."""
     n = len(ids)
     h = _hidden(model, around)
-    group, place = ids // CLASS, ids % CLASS
+    classes, size = model["wb"].shape
+    group, place = ids // size, ids % size
     p, _ = _softmax(h @ model["c"] + model["cb"])
     p[np.arange(n), group] -= 1
     dh = p @ model["c"].T
     gc, gcb = h.T @ p, p.sum(0)
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(IDS // CLASS + 1))
-    for g in range(IDS // CLASS):
+    ends = np.searchsorted(group[order], np.arange(classes + 1))
+    for g in range(classes):
         own = order[ends[g] : ends[g + 1]]
         if len(own):
             hw = h[own]
             q, _ = _softmax(hw @ model["w"][g] + model["wb"][g])
             q[np.arange(len(own)), place[own]] -= 1
             dh[own] += q @ model["w"][g].T
-            size = rate / np.sqrt(len(own) * n)
-            model["w"][g] -= size * (hw.T @ q)
-            model["wb"][g] -= size * q.sum(0)
+            by = rate / np.sqrt(len(own) * n)
+            model["w"][g] -= by * (hw.T @ q)
+            model["wb"][g] -= by * q.sum(0)
     model["c"] -= rate / n * gc
     model["cb"] -= rate / n * gcb
     dh *= 1 - h * h
@@ -121,14 +151,40 @@ def step(model: dict, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
 
 
 class Words:
-    """Words to ids."""
-
-    def __init__(self, frequent: list[bytes]):
-        self.ids = {w: i for i, w in enumerate(frequent)}
+    """Texts to ids: first pieces, following pieces, then the words with an id of their own."""
+
+    def __init__(self, frequent: list[tuple[bytes, int]]):
+        grams = Counter()
+        for w, n in frequent:
+            for size in (2, 3):
+                for i in range(len(w) - size + 1):
+                    grams[w[i : i + size]] += n
+        best = sorted(grams, key=lambda g: (-grams[g] * (len(g) - 1), g))[:PIECES]
+        self.pieces = {g: i for i, g in enumerate([bytes([i]) for i in range(256)] + best)}
+        self.ids = {w: 2 * len(self.pieces) + i for i, (w, _) in enumerate(frequent)}
+        #: All ids, with unused ones that fill the last class; also the padding's.
+        self.size = whole(2 * len(self.pieces) + len(self.ids))
+
+    def spelled(self, word: bytes) -> list[int]:
+        """The longest known pieces from the left."""
+        get, out, at, n = self.pieces.get, [], 0, len(word)
+        while at < n:
+            for size in (3, 2, 1):
+                if (x := get(word[at : at + size])) is not None:
+                    break
+            out.append(x + len(self.pieces) if at else x)
+            at += min(size, n - at)
+        return out
 
     def __call__(self, text: bytes) -> np.ndarray:
-        get, crc, own = self.ids.get, zlib.crc32, IDS - HASHED
-        return np.array([x if (x := get(w)) is not None else own + crc(w) % HASHED for w in text.lower().split()], np.int64)
+        get, out = self.ids.get, []
+        for w in text.lower().split():
+            x = get(w)
+            if x is None:
+                out += self.spelled(w)
+            else:
+                out.append(x)
+        return np.array(out, np.int64)
 
 
 def blocks(words: Words, documents: list[bytes]):
@@ -138,7 +194,7 @@ def blocks(words: Words, documents: list[bytes]):
     size = 0
 
     def out():
-        pad = np.full(2, PAD, np.int64)
+        pad = np.full(2, words.size, np.int64)
         line = np.concatenate([pad, *(y for x in held for y in (x, pad))])
         at = np.concatenate([np.arange(len(x)) for x in held]) + np.repeat(2 + np.cumsum([0] + [len(x) + 2 for x in held[:-1]]), [len(x) for x in held])
         return line[at], np.stack([line[at + s] for s in SIDES]), np.repeat([i for i, _ in owner], [n for _, n in owner])
@@ -156,8 +212,8 @@ def blocks(words: Words, documents: list[bytes]):
         yield out()
 
 
-def frequent_words(docs: DataFrame) -> list[bytes]:
-    """The IDS - HASHED most frequent words over all documents; ties by the word's bytes."""
+def vocabulary(docs: DataFrame, ws: Workspace) -> tuple[Words, np.ndarray]:
+    """The ids of words, by the words of all documents, and how often each id occurs."""
 
     def count(batches):
         for b in batches:
@@ -166,17 +222,34 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
                 c.update(t.lower().split())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in rows.orderBy(F.desc("n"), "word").limit(IDS - HASHED).collect()]
+    counted = ws.table(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(2, math.isqrt(total) // RARE)
+    words = Words([(bytes(r.word), r.n) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()])
+
+    def tally(batches):
+        own = np.zeros(words.size, np.int64)
+        for b in batches:
+            ids = [words(w) for w in b.column(0).to_pylist()]
+            if ids:
+                np.add.at(own, np.concatenate(ids), np.repeat(b.column(1).to_numpy(), [len(x) for x in ids]))
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["id", "n"])
+
+    counts = np.zeros(words.size, np.int64)
+    for r in counted.mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r.id] = r.n
+    return words, counts
 
 
 def train(docs: DataFrame, ws: Workspace, rounds: int = 1, rate: float = 0.5) -> tuple[Words, dict]:
     """The ids of words and a model trained on every document, `rounds` times."""
-    words, model = Words(frequent_words(docs)), pack(start())
+    words, counts = vocabulary(docs, ws)
+    model = pack(start(counts=counts))
     for k in range(rounds):
 
         def run(batches, model=model, k=k):
-            own, seen, steps = unpack(model), 0, 0
+            own, seen, steps = unpack(model, words.size), 0, 0
             for b in batches:
                 for ids, around, _ in blocks(words, texts(b)):
                     for a in range(0, len(ids), STEP):
@@ -187,20 +260,20 @@ def train(docs: DataFrame, ws: Workspace, rounds: int = 1, rate: float = 0.5) ->
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(own)], pa.binary())], ["part", "n", "model"])
 
         def mean(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), table["model"].to_pylist()))
+            rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), range(table.num_rows)))
             total = sum(n for _, n, _ in rows)
-            out = sum(np.frombuffer(m, "<f4").astype(np.float64) * (n / total) for _, n, m in rows)
-            return pa.table({"part": pa.array([rows[0][0] // 16], pa.int64()), "n": pa.array([total], pa.int64()), "model": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+            out = sum(np.frombuffer(table["model"][i].as_buffer(), "<f4") * np.float64(n / total) for _, n, i in rows)
+            return pa.table({"part": pa.array([rows[0][0] // FAN], pa.int64()), "n": pa.array([total], pa.int64()), "model": pa.array([out.astype("<f4").tobytes()], pa.binary())})
 
         kind, level = "part long, n long, model binary", 0
         copies = ws.table(docs.select("text").mapInArrow(run, kind), f"copies{k}")
         while (most := copies.agg(F.max("part")).first()[0]) is not None and (most > 0 or level == 0):
             level += 1
-            copies = ws.table(copies.groupBy(F.expr("part div 16")).applyInArrow(mean, kind), f"copies{k}-{level}")
+            copies = ws.table(copies.groupBy(F.expr(f"part div {FAN}")).applyInArrow(mean, kind), f"copies{k}-{level}")
         if most is None:  # no tokens
             break
         model = bytes(copies.first().model)
-    return words, unpack(model)
+    return words, unpack(model, words.size)
 
 
 def score(docs: DataFrame, words: Words, model: dict) -> DataFrame:
