@@ -40,3 +40,10 @@ def test_query_equals_sql(spark, name):
 def test_embed_text(spark):
     got = plans.queries()["embed_text"](spark, D).collect()
     assert len(got) == 200 and all(r.dim == 256 and r.norm in (0, 1) for r in got)
+
+
+def test_equal_bodies_of_any_sources(spark, tmp_path):
+    rows = [(1, "a", "src7"), (2, "a", "src9"), (3, "a", "src9"), (4, "b", "src0"), (5, "c", "src1"), (6, "c", "src1")]
+    spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.queries()["equal_bodies"](spark, str(tmp_path)).collect()
+    assert sorted((r.source, r.last_doc, r.n_docs) for r in got) == [("src7", 1, 1), ("src9", 3, 2)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
 
@@ -22,6 +23,13 @@ def same_body_pairs(left: DataFrame, right: DataFrame, columns: list[str]) -> Da
     return j.select("body_key", *[F.col(f"a.{c}").alias(f"a_{c}") for c in columns], *[F.col(f"b.{c}").alias(f"b_{c}") for c in columns])
 
 
+def bodies_by_source(rows: DataFrame) -> DataFrame:
+    """(body_key, source, last_doc, n_docs) for each body that two or more sources have, from rows (doc_id, text, source)."""
+    g = rows.groupBy(F.sha2("text", 256).alias("body_key"), "source").agg(F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"))
+    g = g.withColumn("n", F.count("*").over(Window.partitionBy("body_key")))
+    return g.where("n > 1").drop("n")
+
+
 def shared_values(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column that both have."""
     return left.select(column).intersect(right.select(column))

@@ -123,6 +123,7 @@ ORACLE = {
     "dedup_stats": f"WITH {DOCS}, g AS (SELECT count(*) AS n, count(DISTINCT source) AS s FROM docs GROUP BY t) SELECT CAST(sum(n) AS BIGINT) AS n_docs, count(*) AS n_texts, count(*) FILTER (n > 1) AS n_groups, max(n) AS largest, count(*) FILTER (s > 1) AS n_across FROM g",
     "near_dup_pairs": f"WITH {DOCS}, r AS (SELECT t, max(doc_id) AS right_doc FROM docs WHERE source = 'src1' GROUP BY t) SELECT d.doc_id AS left_doc, r.right_doc, sha256(d.t) AS body_key FROM docs d JOIN r ON d.t = r.t WHERE d.source = 'src0'",
     "shared_bodies": f"WITH {DOCS} SELECT sha256(t) AS body_key FROM (SELECT t FROM docs WHERE source = 'src0' INTERSECT SELECT t FROM docs WHERE source <> 'src0')",
+    "equal_bodies": f"WITH {DOCS} SELECT sha256(t) AS body_key, source, max(doc_id) AS last_doc, count(*) AS n_docs FROM docs GROUP BY t, source QUALIFY count(*) OVER (PARTITION BY t) > 1",
     "likeness_by_label": f"WITH {INDEX}, {_ranked()} SELECT round(avg(score), 4) AS mean, round(min(score), 4) AS least, round(max(score), 4) AS most, count(*) FILTER (score > 0.5) AS n_above, count(*) AS n FROM ranked WHERE rank = 1",
     "token_estimate": f"WITH {DOCS} SELECT doc_id, {_tokens('t')} AS n_tokens FROM docs",
     "chunk_stats": f"WITH {DOCS}, k AS (SELECT coalesce(source, '-') AS source, {_tokens('t')} AS n_tokens FROM docs) SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS n, median(n_tokens) AS median, max(n_tokens) AS most, CAST(sum(n_tokens) AS BIGINT) AS total FROM k GROUP BY GROUPING SETS ((source), ())",

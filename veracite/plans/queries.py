@@ -137,6 +137,12 @@ def shared_bodies(spark, sf_dir):
     return stats.shared_values(d.where("source = 'src0'"), d.where("source <> 'src0'"), "body_key")
 
 
+@query
+def equal_bodies(spark, sf_dir):
+    """The texts that any two sources share, over the whole table: near_dup_pairs and shared_bodies name their sources."""
+    return stats.bodies_by_source(docs(spark, sf_dir))
+
+
 @query
 def likeness_by_label(spark, sf_dir):
     """Inner products of each question with its nearest neighbour: mean, least, most, and how many are above 0.5."""
