@@ -186,6 +186,14 @@ def test_suffix_odd_rows(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in got) == [(-1, 0), (0, 0), (1, 60), (1, 60)]
 
 
+def test_letters_that_are_cut_stay_in_the_text(spark):
+    shared = "une phrase assez longue pour que les deux textes la partagent ici "
+    rows = [(1, shared + "\u00e9t\u00e9"), (2, shared + "\u00e8re nouvelle"), (3, ""), (4, shared)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, rows), with_text=True).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "\u00e8re nouvelle" and got[3].text == got[4].text == ""
+    assert got[2].n_removed == len(shared) + 1
+
+
 def test_bucket_links_connect_like_brute_force():
     import numpy as np
 

@@ -307,10 +307,20 @@ def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
     return dealt.mapInArrow(run, "number long, lengths array<long>, data binary, rest binary")
 
 
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
+    """UTF-8 data without the characters whose bytes are all gone."""
+    if not len(data):
+        return b""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    first = first if len(first) and not first[0] else np.concatenate([[0], first])
+    out = np.logical_and.reduceat(gone, first)
+    return data[~np.repeat(out, np.diff(np.append(first, len(data))))].tobytes()
+
+
 def remove_repeats(docs: DataFrame, others: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, others, n_bytes, n_removed, n_spans, kept_sha256, and with with_text the text that is left.
 
-    The text that is left is decoded as UTF-8; a character of which only some bytes are left is dropped there.
+    The text that is left keeps whole every character of which some byte is left; the counts and the digest are of bytes.
     """
     ws = Workspace(docs.sparkSession, "suffix-dedup")
     chunks = ws.table(_packed(docs, list(others)), "chunks", "zstd")
@@ -345,7 +355,7 @@ def remove_repeats(docs: DataFrame, others: tuple[str, ...] = (), with_text: boo
                     removed = int(np.count_nonzero(g))
                     kept = plain[a:e][~g].tobytes() if removed else data[a:e]
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if removed else 0
-                    rows.append((e - a, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                    rows.append((e - a, removed, spans, hashlib.sha256(kept).hexdigest(), whole_characters(plain[a:e], g).decode("utf-8", "ignore") if with_text else None))
                 for i in range(0, len(rows), 1000):
                     cols = list(zip(*rows[i : i + 1000]))
                     new = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())] + ([pa.array(cols[4], pa.string())] if with_text else [])
