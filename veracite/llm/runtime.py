@@ -26,7 +26,17 @@ def shared_root(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, True)
         root = f"file://{own}"
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    # One name for Spark and for the executors' own files: a path without a scheme belongs to Hadoop's default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of these columns has."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def prepare(spark: SparkSession) -> None:
@@ -39,11 +49,22 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """A folder of written tables in the shared root. Written tables cut lineage and outlive lost executors."""
+    """A folder of written tables in the shared root. Written tables cut lineage and outlive lost executors.
+
+    The folder goes with close(), or when the driver ends, as results may be read until then.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         prepare(spark)
         self.spark, self.uri = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.uri)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.uri)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.uri}/{name}"
@@ -58,10 +79,12 @@ class Workspace:
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder, for executors that write or read whole binary files.
 
-    Works for file:, hdfs:, s3:, gs: and plain paths, whatever pyarrow was built with.
+    Works for file:, hdfs:, s3: (s3a:), gs: and plain paths, whatever pyarrow was built with.
     """
     from pyarrow import fs
 
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3://" + uri[6:]
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
