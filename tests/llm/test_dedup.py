@@ -92,7 +92,9 @@ def brute_components(prints):
     return comp
 
 
-def test_simhash_matches_brute_force(spark):
+@pytest.mark.parametrize("large", [4000, 8])
+def test_simhash_matches_brute_force(spark, large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
     rows = sample(8)
     rng = random.Random(4)
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -108,21 +110,25 @@ def test_simhash_matches_brute_force(spark):
     assert len({comp[i] for i in range(200, 260)}) < 30
 
 
-def test_simhash_chains_of_fingerprints(spark):
+@pytest.mark.parametrize("large", [4000, 20])
+def test_simhash_chains_of_fingerprints(spark, large, monkeypatch):
     """Links over many steps, sign bits included, by nodes made directly."""
     from veracite.llm.graph import components
     from veracite.llm.runtime import Workspace
 
+    monkeypatch.setattr(simhash, "LARGE", large)
     rng, prints, x = random.Random(2), {}, 0
     for i in range(70):
         prints[1000 - i] = x
         for b in rng.sample(range(64), 2):
             x ^= 1 << b
+    for i in range(300):  # many that share a segment's value
+        prints[2000 + i] = rng.getrandbits(6) << 40 | 0xABCD
     prints = dict({v: k for k, v in prints.items()}.items())
     prints = {k: v for v, k in prints.items()}
     nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "node long, fp long")
     ws = Workspace(spark, "test")
-    got = {r.node: r.label for r in components(ws, simhash.links(nodes)).collect()}
+    got = {r.node: r.label for r in components(ws, simhash.links(ws, nodes)).collect()}
     want = brute_components(prints)
     assert {i: got.get(i, i) for i in prints} == want
 
@@ -211,7 +217,7 @@ def test_bucket_links_connect_like_brute_force():
         key = np.sort(rng.randint(0, 3, small * 3))
         base = rng.randint(0, 2**62, 4)
         fp = np.array([[base[rng.randint(4)] ^ (1 << rng.randint(62)) ^ (1 << rng.randint(62))] for _ in key], np.uint64)
-        a, b = simhash.bucket_links(key, fp, 3)
+        a, b = simhash.bucket_links(key, {"fp": fp}, simhash.within(3), 3)
         comp = list(range(len(key)))
 
         def find(i, comp):
@@ -231,34 +237,52 @@ def test_bucket_links_connect_like_brute_force():
 
 
 def jaccard(x, y):
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.lower().split(), y.lower().split())]
+    sets = []
+    for t in (x, y):
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)})
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def test_similar_documents(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 64)
-    rng = random.Random(9)
+def families(rng, count=40):
+    """Texts with one to three edits in some, whose similarities lie around 0.8."""
     new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
-    rows, family = [], {}
-    for f in range(40):
-        base = new(rng.choice([60, 300, 900]))
+    rows = []
+    for _ in range(count):
+        base = new(rng.choice([60, 90, 300, 900]))
         for c in range(rng.choice([1, 2, 5])):
             w = list(base)
-            for _ in range(c and max(1, len(w) // 150)):
+            for _ in range(c and max(1, len(w) // rng.choice([150, 60, 40, 30]))):
                 w[rng.randrange(len(w))] = "edit"
-            i = 1 + len(rows)
-            rows.append((i, " ".join(w)))
-            family.setdefault(f, []).append(i)
-    rows += [(900 + i, " ".join(new(200))) for i in range(60)] + [(2000, None), (2001, ""), (2002, "a b"), (None, rows[0][1]), (1, rows[0][1])]
+            rows.append((1 + len(rows), " ".join(w)))
+    return rows + [(900 + i, " ".join(new(200))) for i in range(60)]
+
+
+@pytest.mark.parametrize("large", [4000, 3])
+def test_similar_documents(spark, large, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rows = families(random.Random(9))
+    comp = {i: i for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and comp[i] != comp[j] and jaccard(x, y) >= 0.8:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = {k: new if c == old else c for k, c in comp.items()}
+    rows += [(2000, None), (2001, ""), (2002, "a b"), (2003, "A  b"), (None, rows[0][1]), (1, rows[0][1])]
     got = {}
     for r in simhash.similar_documents(frame(spark, rows)).collect():
         got.setdefault(r.doc_id, []).append(r.component_id)
-    assert got[None] == [None] and len(got[1]) == 2 and got[2000] == got[2001] == [2000] and got[2002] == [2002]
-    text = dict(rows)
-    for members in family.values():
-        for i in members[1:]:
-            if jaccard(text[members[0]], text[i]) >= 0.85:
-                assert got[i] == [members[0]]
-        assert {x for i in members for x in got[i]} <= set(members)
-    assert all(got[900 + i] == [900 + i] for i in range(60))
+    assert got[None] == [None] and len(got[1]) == 2 and got[2000] == got[2001] == [2000] and got[2002] == got[2003] == [2002]
+    assert {i: got[i] for i in comp if i > 1} == {i: [c] for i, c in comp.items() if i > 1}
+    assert len(set(comp.values())) < len(comp) - 20
     assert simhash.similar_documents(frame(spark, [])).count() == 0
+
+
+def test_distinct_documents_keeps_rows_and_columns(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(5, text, 1, "a", None), (3, text + " end", 2, "b", 1.5), (5, "another text", 3, "c", None), (None, text, 4, "d", None), (None, text, 5, "e", None), (9, None, 6, "f", None), (10, "", 7, "g", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, fp string, component_id double")
+    out = simhash.distinct_documents(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted(r.digest for r in out.collect()) == [2, 3, 4, 5, 6]
