@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -48,6 +49,13 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_REPO, path) if x)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver's JVM
+    collects its garbage: by default every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """A folder of written tables in the shared root. Written tables cut lineage and outlive lost executors.
 

@@ -21,9 +21,10 @@ A slice sends its distinct identifiers, sorted, as one blob for each shard of th
 shard merges the blobs and answers with two bits per identifier: does an earlier chunk have it, and is its bucket open?
 Order within a chunk is settled in the chunk. So a passage that a third of all documents hold is one identifier per
 slice, no pairs of documents are made, and chunks that are lost are computed again. A round-1 identifier has 32 bits
-beside those of its shard: a chance match only costs a refinement. Those of rounds 2 and 3 have 128 bits of all the bytes
-they name (XXH3 over a run, two mixed 64-bit chains over a string), so different strings share one with a probability
-of about n * n / 2^129 among n strings: below 1e-12 at 10^13.
+beside those of its shard: a chance match only costs a refinement. Those of rounds 2 and 3 are the pointer and 96 bits of
+all the bytes they name (XXH3 over a run, two mixed 64-bit chains over a string); only strings of one bucket can share
+one, with a probability of about the sum of n * n / 2^97 over buckets of n strings: 6e-14 for 10^13 strings in
+buckets of a thousand.
 
 Null text counts as empty. Texts shorter than 50 bytes stay whole. Repeated doc_ids, and null ones, which come first:
 rows are ordered by doc_id and then as read, and a later row counts as having the greater id. An empty table gives an
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import Workspace, fresh, read_file, texts, write_file
+from .runtime import Workspace, forget, fresh, read_file, texts, write_file
 
 LENGTH, GRAM = 50, 24
 #: Bytes of several documents in a chunk, and windows in a slice; identifiers for which there is a shard, and the least
@@ -96,13 +97,15 @@ def runs_of(data: bytes, a: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def run_names(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128-bit identifiers of data[start:end], as two columns."""
+    """96-bit identifiers of data[start:end], as two columns."""
     digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), "<u8").reshape(-1, 2)
+    out = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), "<u8").reshape(-1, 2).copy()
+    out[:, 1] &= np.uint64(0xFFFFFFFF)
+    return out
 
 
 def window_names(data: bytes, a: int, n: int, at: np.ndarray) -> np.ndarray:
-    """128-bit identifiers of the 50-byte strings at some (at) of the n windows from a, as two columns."""
+    """96-bit identifiers of the 50-byte strings at some (at) of the n windows from a, as two columns."""
     words = _words(data, a, n + LENGTH - 8)
     x, y = np.full(len(at), _K[3]), np.full(len(at), _K[4])
     for i, k in enumerate((0, 8, 16, 24, 32, 40, LENGTH - 8)):
@@ -111,7 +114,7 @@ def window_names(data: bytes, a: int, n: int, at: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(32)
         y = (y + w) * _K[6 - i]
         y ^= y >> np.uint64(29)
-    return np.stack([_mix(x), _mix(y)], 1)
+    return np.stack([_mix(x), _mix(y) & np.uint64(0xFFFFFFFF)], 1)
 
 
 @dataclass
@@ -187,7 +190,7 @@ class Keys:
         shard = (self.route >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            yield int(shard[a]), self.route[a:b].astype("<u4").tobytes() + (b"" if self.names is None else self.names[a:b].tobytes())
+            yield int(shard[a]), self.route[a:b].astype("<u4").tobytes() + (b"" if self.names is None else self.names[a:b, 0].tobytes() + self.names[a:b, 1].astype("<u4").tobytes())
 
     def told(self, bits: bytes | None) -> "Keys":
         n = len(self.route)
@@ -243,10 +246,10 @@ def answers(requests: DataFrame, uri: str, wide: bool) -> int:
 
     def merge(table: pa.Table) -> pa.Table:
         blobs = table["keys"].to_pylist()
-        counts = [len(b) // (20 if wide else 4) for b in blobs]
+        counts = [len(b) // (16 if wide else 4) for b in blobs]
         owner = np.repeat(table["number"].to_numpy(), counts)
         place = np.concatenate([np.frombuffer(b, "<u4", n) for b, n in zip(blobs, counts)])
-        names = np.concatenate([np.frombuffer(b, "<u8", 2 * n, 4 * n) for b, n in zip(blobs, counts)]).reshape(-1, 2) if wide else None
+        names = np.stack([np.concatenate([np.frombuffer(b, "<u8", n, 4 * n) for b, n in zip(blobs, counts)]), np.concatenate([np.frombuffer(b, "<u4", n, 12 * n).astype(np.uint64) for b, n in zip(blobs, counts)])], 1) if wide else None
         del blobs
         order = np.lexsort((owner, names[:, 1], names[:, 0], place) if wide else (owner, place))
         owner, place = owner[order], place[order]
@@ -350,6 +353,7 @@ def _judged(docs: DataFrame, schema, columns) -> DataFrame:
     chunks = ws.table(_packed(docs), "chunks", "zstd")
     count = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x).cast("long"))
     left = (chunks.agg(F.sum(count(F.col("runs")))).first()[0] or 0) // 16
+    forget(docs.sparkSession)
     answered: list[tuple[str, int]] = []
     for k in range(3):
         shards = max(SHARDS, -(-left // KEYS))
@@ -369,6 +373,7 @@ def _judged(docs: DataFrame, schema, columns) -> DataFrame:
         uri = f"{ws.uri}/round{k + 1}"
         left = answers(asked.mapInArrow(ask, "number long, part int, shard int, keys binary"), uri, k > 0) * (USUAL_RUN if k else 1)
         answered.append((uri, shards))
+        forget(docs.sparkSession)
 
     def cut(batches):
         for b in batches:
