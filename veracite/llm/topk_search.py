@@ -2,15 +2,16 @@
 
 Components become integers floor(scale * x). The approximation file holds, for every vector, the number of the cell
 (of 2^bits equal cells between the least and the greatest value of its dimension) that each component falls into, one
-byte each, beside the exact vector in another column. For a query q the inner product with any vector of those cells
-lies within e of the one with the cells' middles, where e = sum |q_d| * half a cell's width: these are the bounds.
+byte each, and where its exact vector lies: in files of their own, in as few bytes a component as the values need. For a
+query q the inner product with any vector of those cells lies within e of the one with the cells' middles, where
+e = sum |q_d| * half a cell's width: these are the bounds.
 
-Queries are a stated set; they are taken in blocks of a fixed size, and each block meets every row in two scans:
+Queries are a stated set; they are numbered and taken in blocks of a fixed size, and each block meets every row in two
+scans of the approximations:
 
-    scan 1    reads approximations only, and keeps each query's k greatest lower bounds; the kth is a floor under the
-              query's kth score;
-    scan 2    computes the bounds again; of the vectors whose upper bound reaches the floor, exact ones are read in the
-              order of the bounds, best first, until the kth score found is above the next bound, so the rest can't enter.
+    scan 1    keeps each query's k greatest lower bounds; the kth is a floor under the query's kth score;
+    scan 2    of the vectors whose upper bound reaches the floor, exact ones are read from their file, by ranges, in the
+              order of the bounds, best first, until the kth score found is above the next bound: the rest can't enter.
 
 What is sent to the executors is one block of queries, at most BLOCK vectors; no vectors are sent to the driver but
 those. Ties in score go to the smaller vec_id.
@@ -23,17 +24,19 @@ scaling raise an error. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import Workspace
+from .runtime import Workspace, file_system, write_file
 
-#: Queries in a block, and rows that are bounded at a time.
-BLOCK, ROWS = 4096, 2048
-_KIND = "vec_id long, dim int, cells binary, exact binary"
+#: Queries in a block, rows that are bounded at a time, bytes of a file of exact vectors, and exact vectors read at once.
+BLOCK, ROWS, FILE, FEW = 4096, 2048, 16 << 20, 16
+_KIND = "vec_id long, dim int, cells binary, file string, at long"
 
 
 def integers(rows: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
@@ -47,9 +50,11 @@ def integers(rows: DataFrame, id_column: str, vector_column: str, scale: float)
 
 
 class Grid:
-    """The cells of each dimension: least value and width, for every length of vectors."""
+    """The cells of each dimension: least value and width, for every length of vectors; kind: of exact components."""
 
     def __init__(self, ranges: dict[int, tuple[np.ndarray, np.ndarray]], bits: int):
+        most = max((int(max(abs(low).max(), abs(high).max())) for low, high in ranges.values()), default=0)
+        self.kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
         self.low = {d: low.astype(np.float64) for d, (low, _) in ranges.items()}
         self.width = {d: np.maximum((high - low).astype(np.float64) / (1 << bits), 1.0) for d, (low, high) in ranges.items()}
         self.cells = 1 << bits
@@ -104,21 +109,60 @@ def approximations(vectors: DataFrame, ws: Workspace, bits: int) -> tuple[DataFr
         found.setdefault(r.dim, {})[r.d] = (r.low, r.high)
     grid = Grid({n: (np.array([x[i][0] for i in range(n)]), np.array([x[i][1] for i in range(n)])) for n, x in found.items()}, bits)
 
+    folder = f"{ws.uri}/exact"
+
     def encode(batches):
+        held, size, name = [], 0, f"{folder}/{uuid.uuid4().hex}"
+
+        def rows(out: list):
+            ids, dims, cells, places = zip(*out)
+            cols = [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(cells, pa.binary()), pa.array([name] * len(out)), pa.array(places, pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "cells", "file", "at"])
+
         for b in batches:
-            ids, lists = b.column(0), b.column(1)
+            ids, lists = b.column(0).to_pylist(), b.column(1)
             dims = np.array([len(x) for x in lists], np.int64)
-            cells, exact = [b""] * len(dims), [b""] * len(dims)
+            out = []
             for d in np.unique(dims[dims > 0]).tolist():
-                rows = np.flatnonzero(dims == d)
-                v = np.stack([lists[int(i)].values.to_numpy() for i in rows])
-                for i, c, x in zip(rows.tolist(), grid.encode(v), v):
-                    cells[i], exact[i] = c.tobytes(), x.astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(dims, pa.int32()), pa.array(cells, pa.binary()), pa.array(exact, pa.binary())], ["vec_id", "dim", "cells", "exact"])
+                some = np.flatnonzero(dims == d)
+                v = np.stack([lists[int(i)].values.to_numpy() for i in some])
+                for i, c, x in zip(some.tolist(), grid.encode(v), v.astype(grid.kind)):
+                    out.append((ids[i], d, c.tobytes(), size))
+                    held.append(x.tobytes())
+                    size += len(held[-1])
+            if out:
+                yield rows(out)
+            if size >= FILE:
+                write_file(name, b"".join(held))
+                held, size, name = [], 0, f"{folder}/{uuid.uuid4().hex}"
+        if held:
+            write_file(name, b"".join(held))
 
     return ws.table(vectors.mapInArrow(encode, _KIND), "approximations"), grid
 
 
+class Exact:
+    """Exact vectors, read by ranges from their files; the file in use stays open."""
+
+    def __init__(self, kind: str):
+        self.kind, self.name, self.file = kind, None, None
+
+    def __call__(self, names: list[str], places: np.ndarray, dim: int) -> np.ndarray:
+        out = []
+        for name, at in zip(names, places.tolist()):
+            if name != self.name:
+                self.close()
+                files, path = file_system(name)
+                self.name, self.file = name, files.open_input_file(path)
+            out.append(self.file.read_at(dim * np.dtype(self.kind).itemsize, at))
+        return np.frombuffer(b"".join(out), self.kind).reshape(len(out), dim).astype(np.int64)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.name = self.file = None
+
+
 def _floors(file: DataFrame, grid: Grid, ids: np.ndarray, by_dim: dict, k: int) -> np.ndarray:
     """Scan 1: a floor under each query's kth score, or -inf."""
     n = len(ids)
@@ -168,8 +212,9 @@ def _winners(file: DataFrame, grid: Grid, ids: np.ndarray, by_dim: dict, floors:
     def scan(batches):
         scores = [np.zeros(0, np.int64) for _ in ids]
         found = [np.zeros(0, np.int64) for _ in ids]
+        read = Exact(grid.kind)
         for b in batches:
-            vec = b.column(0).to_numpy()
+            vec, files, places = b.column(0).to_numpy(), b.column(3), b.column(4).to_numpy()
             for rows, d in _dims(b):
                 if d not in by_dim:
                     continue
@@ -178,7 +223,6 @@ def _winners(file: DataFrame, grid: Grid, ids: np.ndarray, by_dim: dict, floors:
                 for i in range(0, len(rows), ROWS):
                     part = rows[i : i + ROWS]
                     mid = grid.middles(_matrix(b.column(2), part, np.uint8))
-                    exact = _matrix(b.column(3), part, "<i8")
                     for j in range(0, len(at), 256):
                         own = at[j : j + 256]
                         high = qf[j : j + 256] @ mid.T + e[j : j + 256, None]
@@ -186,14 +230,17 @@ def _winners(file: DataFrame, grid: Grid, ids: np.ndarray, by_dim: dict, floors:
                         for r in np.flatnonzero(reach.any(1)).tolist():
                             x, cols = int(own[r]), np.flatnonzero(reach[r])
                             cols = cols[np.argsort(-high[r, cols], kind="stable")]
-                            for a in range(0, len(cols), 16):  # in the order of the bounds, a few at a time
-                                few = cols[a : a + 16]
+                            for a in range(0, len(cols), FEW):  # in the order of the bounds, a few at a time
+                                few = cols[a : a + FEW]
                                 if len(scores[x]) >= k and scores[x][-1] > high[r, few[0]]:
                                     break
-                                s = np.concatenate([scores[x], _exact_scores(q[j + r], exact[few])])
+                                few = few[np.argsort(places[part[few]], kind="stable")]
+                                exact = read(files.take(pa.array(part[few])).to_pylist(), places[part[few]], d)
+                                s = np.concatenate([scores[x], _exact_scores(q[j + r], exact)])
                                 v = np.concatenate([found[x], vec[part[few]]])
                                 keep = _top(s, v, k)
                                 scores[x], found[x] = s[keep], v[keep]
+        read.close()
         full = [i for i in range(len(ids)) if len(scores[i])]
         for i in range(0, len(full), 2000):
             some = full[i : i + 2000]
@@ -202,40 +249,41 @@ def _winners(file: DataFrame, grid: Grid, ids: np.ndarray, by_dim: dict, floors:
     return file.mapInArrow(scan, "query_id long, vec_id long, score long")
 
 
+def _queries(vectors: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
+    """(number, vec_id, v) of the queries, numbered in order of vec_id, and how many there are. Each is a query once."""
+    rows = vectors.distinct().repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("at", F.monotonically_increasing_id())
+    rows = ws.table(rows, "placed")
+    part = F.shiftright("at", 33)
+    before, total = [], 0
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect()):  # one row for each partition
+        before.append((p, total))
+        total += n
+    if not total:
+        return rows, 0
+    starts = rows.sparkSession.createDataFrame(before, "p long, before long")
+    numbered = rows.withColumn("p", part).join(starts, "p").select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("number"), "vec_id", "v")
+    return ws.table(numbered, "queries"), total
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256, bits: int = 6, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score). is_query: a condition on vec_id that states the queries."""
     ws = Workspace(vectors.sparkSession, "top-k")
-    file, grid = approximations(integers(vectors, id_column, vector_column, scale), ws, bits)
-    asked = file.where(is_query).select("vec_id", "dim", "exact")
-    # Blocks of queries: numbered by position, and fetched one block at a time.
-    asked = ws.table(asked.distinct().repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("part", F.spark_partition_id()), "queries")
-    parts = [r.part for r in asked.select("part").distinct().orderBy("part").collect()]
-    parts_out: list[DataFrame] = []
-    held: list = []
-
-    def search(rows: list) -> None:
-        by_query: dict = {}
-        for r in rows:
-            by_query.setdefault(r.dim, []).append(r)
+    whole = integers(vectors, id_column, vector_column, scale)
+    file, grid = approximations(whole, ws, bits)
+    asked, total = _queries(whole.where(is_query), ws)
+    any_found = False
+    for block in range(0, total, BLOCK):
+        rows = asked.where((F.col("number") >= block) & (F.col("number") < block + BLOCK)).collect()  # a block
+        rows.sort(key=lambda r: r.number)
         ids = np.array([r.vec_id for r in rows], np.int64)
-        place = {id(r): i for i, r in enumerate(rows)}
-        by_dim = {d: (np.array([place[id(r)] for r in rs]), np.stack([np.frombuffer(bytes(r.exact), "<i8") for r in rs])) for d, rs in by_query.items() if d > 0}
+        dims = np.array([len(r.v) for r in rows])
+        by_dim = {d: (np.flatnonzero(dims == d), np.array([rows[i].v for i in np.flatnonzero(dims == d)], np.int64)) for d in np.unique(dims).tolist() if d > 0}
         if by_dim:
             floors = _floors(file, grid, ids, by_dim, k)
-            parts_out.append(ws.table(_winners(file, grid, ids, by_dim, floors, k), f"block{len(parts_out)}"))
-
-    for part in parts:
-        for r in asked.where(F.col("part") == part).toLocalIterator():
-            held.append(r)
-            if len(held) == BLOCK:
-                search(held)
-                held = []
-    if held:
-        search(held)
-    if not parts_out:
+            ws.table(_winners(file, grid, ids, by_dim, floors, k), f"winners/block={block}")
+            any_found = True
+    if not any_found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts_out[0]
-    for x in parts_out[1:]:
-        found = found.union(x)
+    found = vectors.sparkSession.read.schema("query_id long, vec_id long, score long, block long").parquet(f"{ws.uri}/winners")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
