@@ -32,12 +32,25 @@ def ids_of(text, tok=Tokenizer.from_file(WORD_TOKENIZER)):
     return np.array(tok.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
+def test_letters_and_marks_equal_the_library():
+    """All letters with combining marks, of which some compose only in one case, and all characters up to U+0250 in context."""
+    enc = WordEncoder(WORD_TOKENIZER)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    words = [a + chr(m) for a in letters for m in range(0x300, 0x370)]
+    words += [f for c in range(0x21, 0x250) if not chr(c).isspace() for f in (chr(c), f"A{chr(c)}'S", f"x{chr(c)}'ll9{chr(c)}{chr(c)}", f"'re{chr(c).upper()}.\'t")]
+    words += ["J\u030c", "H\u0331", "''re", "don't", "DON'T", "'Sx", "\u0130X", "\u0149", "\u01c5", "12ab34", "\u0178\u0178"]
+    for w in words:
+        assert np.frombuffer(enc.encode(w.encode()), "<u4").tolist() == enc.tokenizer.encode(w, add_special_tokens=False).ids, ascii(w)
+    text = " ".join(words)
+    assert np.frombuffer(enc.encode(text.encode()), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("limit", [400_000, 50])
 def test_cached_words_equal_the_library(limit):
     enc = WordEncoder(WORD_TOKENIZER, limit)
     for _, t in corpus():
         assert enc.encode((t or "").encode()) == ids_of(t)[:-1].tobytes()
-    assert len(enc.young) <= max(limit, 6000)
+    assert len(enc.words.young) <= max(limit, 6000)
 
 
 def test_token_store(spark):
