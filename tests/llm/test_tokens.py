@@ -1,6 +1,7 @@
 """Token shards, packing and the transducer against the libraries they must equal."""
 
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 from veracite.llm import packing, token_output
 from veracite.llm.queries import PIECE_MODEL, WORD_TOKENIZER
 from veracite.llm.tokenization import WordEncoder
-from veracite.llm.wfst import Transducer, encoded
+from veracite.llm.wfst import Normaliser, Transducer, charsmap_rules, encoded
 
 ODD = ["", " ", "a", "Don't  DON'T\tx\n", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b", "ΑΣ ΑΣΑ İi ß 東京", "É́ é ́x \x1c\x85\xa0", "a\x00b 12 ,. ,..", "▁a ▁▁b", "😀😀" * 50, "aaaa" * 900]
 
@@ -177,3 +178,68 @@ def test_transducer_equals_the_library(spark):
     got = encoded(frame(spark, [(1, None), (None, "a b"), (3, "x"), (3, "x")]), PIECE_MODEL, True).collect()
     assert [(r.doc_id, r.ids, r.round_trip) for r in got] == [(1, [], True), (None, sp.encode("a b"), True), (3, sp.encode("x"), True), (3, sp.encode("x"), True)]
     assert encoded(frame(spark, []), PIECE_MODEL).count() == 0
+
+
+def message(*fields) -> bytes:
+    """A protocol-buffer message of (number, value)."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def model(pieces, kind, charsmap=b"", dummy=1, trim=1, fallback=0):
+    rows = [message((1, p.encode()), (2, float(s)), (3, k)) for p, s, k in pieces]
+    return b"".join(message((1, r)) for r in rows) + message((2, message((3, kind), (35, fallback))), (3, message((1, b"own"), (2, charsmap), (3, dummy), (4, trim), (5, 1))))
+
+
+@pytest.mark.parametrize(("kind", "fallback"), [(1, 0), (1, 1), (2, 0), (2, 1)])
+@pytest.mark.parametrize(("dummy", "trim"), [(1, 1), (0, 0), (1, 0)])
+def test_small_models_equal_the_library(kind, fallback, dummy, trim):
+    """Unigram and byte-pair models with ties, unknown characters, byte fallback and both treatments of spaces."""
+    spm = pytest.importorskip("sentencepiece")
+    rng = random.Random(kind * 8 + fallback)
+    found = {"a", "b", "c", "▁", "é"}
+    while len(found) < 60:
+        found.add("".join(rng.choice("abc▁é") for _ in range(rng.randrange(2, 5))))
+    order = sorted(found, key=lambda p: (len(p), p))
+    scores = [-float(i) for i in range(len(order))] if kind == 2 else [rng.choice([-1.5, -2.0, -2.5, -3.25, -4.1]) for _ in order]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] * fallback + list(zip(order, scores, [1] * len(order)))
+    data = model(pieces, kind, dummy=dummy, trim=trim, fallback=fallback)
+    sp, t = spm.SentencePieceProcessor(model_proto=data), Transducer(data, limit=30)
+    for _ in range(1500):
+        x = "".join(rng.choice("aabbcc  éxy漢▁") for _ in range(rng.randrange(14)))
+        ids = np.frombuffer(t.encode(x), "<u4").tolist()
+        assert ids == sp.encode(x), (x, sp.encode(x, out_type=str))
+
+
+def test_character_map():
+    """A double array of two sources, made by hand: "b" and "be" become "x" and "yz"; the longest wins."""
+    units, targets = [0] * 1024, b"x\0yz\0"
+    units[0] = 256 << 10  # the root's block
+    units[256 ^ ord("b")] = ord("b") | 1 << 8 | ((256 ^ ord("b")) ^ 512) << 10
+    units[512] = 0 | 1 << 31
+    units[512 ^ ord("e")] = ord("e") | 1 << 8 | ((512 ^ ord("e")) ^ 768) << 10
+    units[768] = 2 | 1 << 31
+    blob = struct.pack("<I", 4 * len(units)) + np.array(units, "<u4").tobytes() + targets
+    assert charsmap_rules(blob) == {"b": "x", "be": "yz"}
+    n = Normaliser(charsmap_rules(blob), True, False, True)
+    assert n("abe bb ebe") == "▁ayz▁xx▁eyz" and n("") == "" and n("acd") == "▁acd"
+    spm = pytest.importorskip("sentencepiece")
+    data = model([("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -1.0 - i, 1) for i, c in enumerate("▁axyzecd"))], 1, blob)
+    sp, t = spm.SentencePieceProcessor(model_proto=data), Transducer(data)
+    for x in ("abe bb ebe", "  be  b ", "cd", "bebebx q", "   "):
+        assert np.frombuffer(t.encode(x), "<u4").tolist() == sp.encode(x), x
