@@ -1,23 +1,25 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A bidirectional window network predicts every token from the tokens on both sides, never from itself; the log
-probabilities of a document's tokens, each given its two left and two right neighbours, are summed to its score.
-
-    tokens    words, lower-cased for A-Z, split at ASCII white space. Each word counted sqrt(all words) / RARE times or
-              more over all documents has an id of its own, so the vocabulary grows with the corpus, about as the root of
-              it. Any other word is spelled in pieces of one to three bytes, each a token: no two words share ids, and
-              texts that differ in a word differ in tokens. A word's first piece has other ids than the following ones.
-              Places beyond a document's ends have the padding id.
-    network   an embedding for each neighbour's id and place, summed; tanh; softmax over classes of ids, then over the
-              ids of the class, so that a token costs two short softmaxes and the probabilities of all ids add to 1.
-              Classes are as many as the root of the ids. The biases start from the counts of all ids.
-    training  in numpy, by steps over blocks of tokens. Every document is trained on: each task trains a copy over its
-              partition, and the copies are averaged, weighted by tokens, in a tree of fan-in 4, so no task and not
-              the driver holds more than 4 copies. Word counts and copies are gathered from the whole corpus and grow
-              with it.
-
-Null text counts as empty; a document without tokens has score 0, per_token 0. n_tokens counts
-pieces. Rows with null or repeated doc_ids are
+A bidirectional window network predicts every word from the words on both sides, never from itself; the log
+probabilities of a document's words, each given its two left and two right neighbours, are summed to its score.
+
+    words     lower-cased for A-Z, split at ASCII white space. Each word counted sqrt(all words) / RARE times or more over
+              all documents has an id of its own, so the vocabulary grows with the corpus, about as the root of it. The
+              network knows any other word by its first byte; the rest of its bytes then have the probabilities of a chain
+              of bytes, counted over all such words of the corpus, that ends the word. So each word has a probability of
+              its own, nothing is hashed, and the probabilities of all words add to 1 (less what the chain gives to
+              spellings of words that have ids). Places beyond a document's ends have the padding id.
+    network   an embedding for each neighbour's id, weighed for its place, summed; tanh; softmax over classes of ids, then
+              over the ids of the class, so that a word costs two short softmaxes and the probabilities of all ids add to
+              1. Classes are as many as the root of the ids. The biases start from the counts of all ids.
+    training  in numpy, by steps over STEP words, each parameter's rate falling with its own gradients so far. Every
+              document is trained on: documents are dealt to shards of about SHARD words by a hash of doc_id and text, in
+              that order, whatever the partitions of the input; a task trains a copy on a shard, and the copies are
+              averaged, weighed by words, in a tree of fan-in FAN, so no task and not the driver holds more than
+              FAN copies. Word counts and copies are gathered from the whole corpus and grow with it. With more rounds,
+              each starts from the average of the one before.
+
+Null text counts as empty; a document without words has score 0, per_token 0. Rows with null or repeated doc_ids are
 scored each. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -28,26 +30,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Workspace, texts
 
-#: Ids of a model of no corpus; width of the network; tokens in a step; what divides the root of all words to the least
-#: count of a word with its own id; pieces of two and three bytes; copies averaged at once.
-IDS, WIDTH, STEP, RARE, PIECES, FAN = 1024, 16, 8192, 16, 256, 4
-PAD = IDS
+#: Width of the network; words in a step; what divides the root of all words to the least count of a word with its own id;
+#: words of a shard; copies averaged at once; words whose ids a task keeps.
+WIDTH, STEP, RARE, SHARD, FAN, KEPT = 16, 4096, 16, 4_000_000, 4, 400_000
 SIDES = (-2, -1, 1, 2)
-
-
-def shapes(ids: int) -> dict[str, tuple[int, ...]]:
-    """Of the arrays of a model of so many ids, which fill whole classes; the last embedding is the padding's."""
-    size = class_size(ids)
-    return {"e": (len(SIDES), ids + 1, WIDTH), "b": (WIDTH,), "c": (WIDTH, ids // size), "cb": (ids // size,), "w": (ids // size, WIDTH, size), "wb": (ids // size, size)}
+Model = dict[str, np.ndarray]
 
 
 def class_size(ids: int) -> int:
+    """Of a model of so many ids, which fill whole classes."""
     size = math.isqrt(ids)
     return size if ids % size == 0 else size + 1
 
@@ -58,22 +54,28 @@ def whole(ids: int) -> int:
     return size * (size - 1) if size > 1 and size * (size - 1) >= ids else size * size
 
 
-def start(seed: int = 11, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """A model before training, from the counts of all ids or of IDS equal ones."""
+def shapes(ids: int) -> dict[str, tuple[int, ...]]:
+    """Of the arrays of a model of so many ids; the last embedding is the padding's."""
+    size = class_size(ids)
+    return {"e": (ids + 1, WIDTH), "d": (len(SIDES), WIDTH), "b": (WIDTH,), "c": (WIDTH, ids // size), "cb": (ids // size,), "w": (ids // size, WIDTH, size), "wb": (ids // size, size)}
+
+
+def start(counts: np.ndarray, seed: int = 11) -> Model:
+    """A model before training, from the counts of all ids."""
     rng = np.random.RandomState(seed)
-    model = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0) * (k not in ("cb", "wb"))).astype(np.float32) for k, s in shapes(IDS if counts is None else len(counts)).items()}
-    if counts is not None:
-        n = (counts + 0.5).reshape(model["wb"].shape)
-        model["cb"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
-        model["wb"] = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+    model = {k: (rng.standard_normal(s) * 0.1 * (k in ("e", "c", "w"))).astype(np.float32) for k, s in shapes(len(counts)).items()}
+    model["d"] += np.array([1 / abs(s) ** 0.5 for s in SIDES], np.float32)[:, None]
+    n = (counts + 0.5).reshape(model["wb"].shape)
+    model["cb"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
+    model["wb"] = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
     return model
 
 
-def pack(model: dict[str, np.ndarray]) -> bytes:
-    return b"".join(model[k].astype("<f4").tobytes() for k in shapes(IDS))
+def pack(model: Model) -> bytes:
+    return b"".join(x.astype("<f4").tobytes() for x in model.values())
 
 
-def unpack(data: bytes, ids: int = IDS) -> dict[str, np.ndarray]:
+def unpack(data: bytes, ids: int) -> Model:
     out, at = {}, 0
     for k, s in shapes(ids).items():
         n = int(np.prod(s))
@@ -82,138 +84,158 @@ def unpack(data: bytes, ids: int = IDS) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the logarithm of their divisor."""
-    top = z.max(1, keepdims=True)
-    e = np.exp(z - top)
-    total = e.sum(1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+def _hidden(model: Model, e: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the places at of a line, from the embeddings of its ids."""
+    h = model["b"] + e[at + SIDES[0]] * model["d"][0]
+    for i, s in enumerate(SIDES[1:], 1):
+        h += e[at + s] * model["d"][i]
+    return np.tanh(h, out=h)
 
 
-def _hidden(model: dict, around: np.ndarray) -> np.ndarray:
-    h = model["b"] + model["e"][0][around[0]]
-    for s in range(1, len(SIDES)):
-        h += model["e"][s][around[s]]
-    return np.tanh(h, out=h)
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by class, and where each class begins in it."""
+    order = np.argsort(group.astype(np.uint16 if classes < 1 << 16 else np.int64), kind="stable")
+    return order, np.searchsorted(group[order], np.arange(classes + 1))
 
 
-def log_probabilities(model: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Of each token, given its neighbours (one row for each side)."""
-    h = _hidden(model, around)
+def log_probabilities(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the ids at these places of a line, given the ids around them."""
     classes, size = model["wb"].shape
+    ids = line[at]
+    h = _hidden(model, model["e"][line], at)
     group, place = ids // size, ids % size
-    n = np.arange(len(ids))
     z = h @ model["c"] + model["cb"]
-    out = z[n, group] - _softmax(z)[1]
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(classes + 1))
-    for g in range(classes):
-        own = order[ends[g] : ends[g + 1]]
-        if len(own):
-            z = h[own] @ model["w"][g] + model["wb"][g]
-            out[own] += z[np.arange(len(own)), place[own]] - _softmax(z)[1]
+    out = z[np.arange(len(ids)), group] - np.log(np.exp(z).sum(1))
+    order, ends = _by_class(group, classes)
+    h, place = h[order], place[order]
+    for g in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        a, b = ends[g], ends[g + 1]
+        z = h[a:b] @ model["w"][g] + model["wb"][g]
+        out[order[a:b]] += z[np.arange(b - a), place[a:b]] - np.log(np.exp(z).sum(1))
     return out
 
 
-def step(model: dict, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
-    """One step down the mean negative log probability of a block; embeddings of rare ids take relatively more."""
-    n = len(ids)
-    h = _hidden(model, around)
-    classes, size = model["wb"].shape
-    group, place = ids // size, ids % size
-    p, _ = _softmax(h @ model["c"] + model["cb"])
-    p[np.arange(n), group] -= 1
+def _descend(model: Model, past: Model, key, gradient: np.ndarray, rate: float) -> None:
+    """A step of some parameters by rates that fall with the squares of their gradients so far."""
+    name, part = key
+    past[name][part] += gradient * gradient
+    model[name][part] -= rate * gradient / np.sqrt(past[name][part] + 1)
+
+
+def step(model: Model, past: Model, line: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
+    """One step down the negative log probability of the ids at these places of a line; past: squares of gradients so far."""
+    ids, size = model["wb"].size, model["wb"].shape[1]
+    y = line[at]
+    e = model["e"][line]
+    h = _hidden(model, e, at)
+    group, place = y // size, y % size
+    p = np.exp(h @ model["c"] + model["cb"])
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(y)), group] -= 1
     dh = p @ model["c"].T
-    gc, gcb = h.T @ p, p.sum(0)
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(classes + 1))
-    for g in range(classes):
-        own = order[ends[g] : ends[g + 1]]
-        if len(own):
-            hw = h[own]
-            q, _ = _softmax(hw @ model["w"][g] + model["wb"][g])
-            q[np.arange(len(own)), place[own]] -= 1
-            dh[own] += q @ model["w"][g].T
-            by = rate / np.sqrt(len(own) * n)
-            model["w"][g] -= by * (hw.T @ q)
-            model["wb"][g] -= by * q.sum(0)
-    model["c"] -= rate / n * gc
-    model["cb"] -= rate / n * gcb
+    all_ = slice(None)
+    _descend(model, past, ("c", all_), h.T @ p, rate)
+    _descend(model, past, ("cb", all_), p.sum(0), rate)
+    order, ends = _by_class(group, len(model["wb"]))
+    hs, place, ds = h[order], place[order], np.empty_like(h)
+    for g in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        a, b = ends[g], ends[g + 1]
+        p = np.exp(hs[a:b] @ model["w"][g] + model["wb"][g])
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(b - a), place[a:b]] -= 1
+        ds[a:b] = p @ model["w"][g].T
+        _descend(model, past, ("w", g), hs[a:b].T @ p, rate)
+        _descend(model, past, ("wb", g), p.sum(0), rate)
+    dh[order] += ds
     dh *= 1 - h * h
-    model["b"] -= rate / n * dh.sum(0)
-    for s in range(len(SIDES)):
-        order = np.argsort(around[s], kind="stable")
-        sorted_ids = around[s][order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        total = np.add.reduceat(dh[order], first, 0)
-        count = np.diff(np.append(first, n))
-        model["e"][s][sorted_ids[first]] -= (rate / np.sqrt(count * n)).astype(np.float32)[:, None] * total
+    _descend(model, past, ("b", all_), dh.sum(0), rate)
+    # What each place of the line does to the places around it, gathered by id.
+    full, ge = np.zeros((len(line), WIDTH), np.float32), np.zeros((len(line), WIDTH), np.float32)
+    full[at] = dh
+    gd = np.stack([(e[at + s] * dh).sum(0) for s in SIDES])
+    for i, s in enumerate(SIDES):
+        if s < 0:
+            ge[:s] += full[-s:] * model["d"][i]
+        else:
+            ge[s:] += full[:-s] * model["d"][i]
+    _descend(model, past, ("d", all_), gd, rate)
+    order = np.argsort(line.astype(np.uint16 if ids < 65_535 else np.int64), kind="stable")
+    ranked = line[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    _descend(model, past, ("e", ranked[first]), np.add.reduceat(ge[order], first, 0), rate)
 
 
 class Words:
-    """Texts to ids: first pieces, following pieces, then the words with an id of their own."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]]):
-        grams = Counter()
-        for w, n in frequent:
-            for size in (2, 3):
-                for i in range(len(w) - size + 1):
-                    grams[w[i : i + size]] += n
-        best = sorted(grams, key=lambda g: (-grams[g] * (len(g) - 1), g))[:PIECES]
-        self.pieces = {g: i for i, g in enumerate([bytes([i]) for i in range(256)] + best)}
-        self.ids = {w: 2 * len(self.pieces) + i for i, (w, _) in enumerate(frequent)}
+    """Texts to ids: 256 first bytes of rare words, then the words with an id of their own. chain: log probabilities of
+    a rare word's next byte (256: its end), given the one before."""
+
+    def __init__(self, frequent: list[bytes], chain: np.ndarray):
+        self.ids = {w: 256 + i for i, w in enumerate(frequent)}
+        self.chain = chain
         #: All ids, with unused ones that fill the last class; also the padding's.
-        self.size = whole(2 * len(self.pieces) + len(self.ids))
-
-    def spelled(self, word: bytes) -> list[int]:
-        """The longest known pieces from the left."""
-        get, out, at, n = self.pieces.get, [], 0, len(word)
-        while at < n:
-            for size in (3, 2, 1):
-                if (x := get(word[at : at + size])) is not None:
-                    break
-            out.append(x + len(self.pieces) if at else x)
-            at += min(size, n - at)
-        return out
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        get, out = self.ids.get, []
+        self.size = whole(256 + len(self.ids))
+        self.young: dict[bytes, tuple[int, float]] = {}
+
+    def _learn(self, word: bytes) -> tuple[int, float]:
+        own = self.ids.get(word)
+        if own is not None:
+            found = own, 0.0
+        else:
+            b = np.frombuffer(word, np.uint8).astype(np.int64)
+            found = word[0], float(self.chain[b, np.append(b[1:], 256)].sum())
+        if len(word) <= 64:
+            if len(self.young) >= KEPT:
+                self.young = {}
+            self.young[word] = found
+        return found
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, float]:
+        """A text's ids, and the log probability of its rare words' spellings."""
+        ids, spelled = [], 0.0
+        get = self.young.get
         for w in text.lower().split():
             x = get(w)
             if x is None:
-                out += self.spelled(w)
-            else:
-                out.append(x)
-        return np.array(out, np.int64)
-
+                x = self._learn(w)
+                get = self.young.get
+            ids.append(x[0])
+            spelled += x[1]
+        return np.array(ids, np.int64), spelled
 
-def blocks(words: Words, documents: list[bytes]):
-    """(ids, neighbours, document of each token), about STEP * 8 tokens at a time."""
-    held: list[np.ndarray] = []
-    owner: list[tuple[int, int]] = []
-    size = 0
+    def __getstate__(self):
+        return self.__dict__ | {"young": {}}
 
-    def out():
-        pad = np.full(2, words.size, np.int64)
-        line = np.concatenate([pad, *(y for x in held for y in (x, pad))])
-        at = np.concatenate([np.arange(len(x)) for x in held]) + np.repeat(2 + np.cumsum([0] + [len(x) + 2 for x in held[:-1]]), [len(x) for x in held])
-        return line[at], np.stack([line[at + s] for s in SIDES]), np.repeat([i for i, _ in owner], [n for _, n in owner])
 
+def lines(words: Words, documents, most: int):
+    """(line, document of each place, spellings): whole documents with two padding ids around each, about `most` words at a
+    time. spellings: (document, log probability of its rare words' spellings)."""
+    pad, none = np.full(2, words.size, np.int64), np.full(2, -1)
+    held, owner, spelled, size = [pad], [none], [], 0
     for i, text in enumerate(documents):
-        ids = words(text)
+        ids, s = words(text)
         if len(ids):
-            held.append(ids)
-            owner.append((i, len(ids)))
+            held += [ids, pad]
+            owner += [np.full(len(ids), i), none]
+            spelled.append((i, s))
             size += len(ids)
-        if size >= STEP * 8:
-            yield out()
-            held, owner, size = [], [], 0
-    if held:
-        yield out()
+        if size >= most:
+            yield np.concatenate(held), np.concatenate(owner), spelled
+            held, owner, spelled, size = [pad], [none], [], 0
+    if size:
+        yield np.concatenate(held), np.concatenate(owner), spelled
 
 
-def vocabulary(docs: DataFrame, ws: Workspace) -> tuple[Words, np.ndarray]:
-    """The ids of words, by the words of all documents, and how often each id occurs."""
+def windows(line: np.ndarray, padding: int, most: int):
+    """(part of a line, its places to predict, their places in the line): each place once, with two places on both sides."""
+    for a in range(2, len(line) - 2, most):
+        part = line[a - 2 : min(a + most, len(line) - 2) + 2]
+        at = 2 + np.flatnonzero(part[2:-2] != padding)
+        if len(at):
+            yield part, at, at + a - 2
+
+
+def vocabulary(docs: DataFrame, ws: Workspace) -> tuple[Words, np.ndarray, int]:
+    """The ids of words, by the words of all documents; how often each id occurs; and how many words there are."""
 
     def count(batches):
         for b in batches:
@@ -225,69 +247,104 @@ def vocabulary(docs: DataFrame, ws: Workspace) -> tuple[Words, np.ndarray]:
     counted = ws.table(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     least = max(2, math.isqrt(total) // RARE)
-    words = Words([(bytes(r.word), r.n) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()])
+    found = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()  # RARE * sqrt(total) of them at most
 
-    def tally(batches):
-        own = np.zeros(words.size, np.int64)
+    def bigrams(batches):  # of rare words: each byte and the next, or the end
+        own = np.zeros(256 * 257, np.int64)
+        first = np.zeros(256, np.int64)
         for b in batches:
-            ids = [words(w) for w in b.column(0).to_pylist()]
-            if ids:
-                np.add.at(own, np.concatenate(ids), np.repeat(b.column(1).to_numpy(), [len(x) for x in ids]))
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(w, np.uint8).astype(np.int64)
+                np.add.at(own, x * 257 + np.append(x[1:], 256), n)
+                first[x[0]] += n
         at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["id", "n"])
-
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["at", "n"])
+        at = np.flatnonzero(first)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(first[at])], ["at", "n"])
+
+    chain, heads = np.ones(256 * 257), np.zeros(256, np.int64)
+    rare = counted.where(F.col("n") < least).mapInArrow(bigrams, "at long, n long")
+    for r in rare.groupBy("at").agg(F.sum("n").alias("n")).collect():  # 256 * 258 of them at most
+        if r["at"] < 0:
+            heads[-1 - r["at"]] = r.n
+        else:
+            chain[r["at"]] += r.n
+    chain = chain.reshape(256, 257)
+    words = Words([bytes(r.word) for r in found], np.log(chain / chain.sum(1, keepdims=True)))
     counts = np.zeros(words.size, np.int64)
-    for r in counted.mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
-    return words, counts
+    counts[:256] = heads
+    counts[256 : 256 + len(found)] = [r.n for r in found]
+    return words, counts, total
 
 
-def train(docs: DataFrame, ws: Workspace, rounds: int = 1, rate: float = 0.5) -> tuple[Words, dict]:
+def train(docs: DataFrame, ws: Workspace, rounds: int = 1) -> tuple[Words, Model]:
     """The ids of words and a model trained on every document, `rounds` times."""
-    words, counts = vocabulary(docs, ws)
-    model = pack(start(counts=counts))
+    words, counts, total = vocabulary(docs, ws)
+    model = start(counts)
+    shards = max(1, round(total / SHARD))
+    dealt = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.octet_length("text") > 0)
+    dealt = dealt.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "text")
+    if rounds > 1:
+        dealt = ws.table(dealt, "dealt")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
     for k in range(rounds):
 
-        def run(batches, model=model, k=k):
-            own, seen, steps = unpack(model, words.size), 0, 0
+        def run(batches, packed=pack(model)):
+            own = past = shard = None
+            seen = 0
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(own)], pa.binary())], ["part", "n", "model"])
+
             for b in batches:
-                for ids, around, _ in blocks(words, texts(b)):
-                    for a in range(0, len(ids), STEP):
-                        steps += 1
-                        step(own, ids[a : a + STEP], around[:, a : a + STEP], rate / (1 + k) / np.sqrt(1 + steps / 200))
-                    seen += len(ids)
+                shards_, all_texts = b.column(0).to_numpy(), texts(b)
+                cuts = [0, *(np.flatnonzero(shards_[1:] != shards_[:-1]) + 1).tolist(), len(shards_)]
+                for a, e in zip(cuts[:-1], cuts[1:]):
+                    if a == e:
+                        continue
+                    if shard != int(shards_[a]):
+                        if seen:
+                            yield out()
+                        shard, seen, own = int(shards_[a]), 0, unpack(packed, words.size)
+                        past = {name: np.zeros_like(x) for name, x in own.items()}
+                    for line, _, _ in lines(words, all_texts[a:e], STEP):
+                        for part, at, _ in windows(line, words.size, STEP):
+                            step(own, past, part, at)
+                            seen += len(at)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(own)], pa.binary())], ["part", "n", "model"])
+                yield out()
 
         def mean(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), range(table.num_rows)))
-            total = sum(n for _, n, _ in rows)
-            out = sum(np.frombuffer(table["model"][i].as_buffer(), "<f4") * np.float64(n / total) for _, n, i in rows)
-            return pa.table({"part": pa.array([rows[0][0] // FAN], pa.int64()), "n": pa.array([total], pa.int64()), "model": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+            words_ = sum(n for _, n, _ in rows)
+            out = sum(np.frombuffer(table["model"][i].as_buffer(), "<f4") * np.float64(n / words_) for _, n, i in rows)
+            return pa.table({"part": pa.array([rows[0][0] // FAN], pa.int64()), "n": pa.array([words_], pa.int64()), "model": pa.array([out.astype("<f4").tobytes()], pa.binary())})
 
         kind, level = "part long, n long, model binary", 0
-        copies = ws.table(docs.select("text").mapInArrow(run, kind), f"copies{k}")
+        copies = ws.table(dealt.mapInArrow(run, kind), f"copies{k}")
         while (most := copies.agg(F.max("part")).first()[0]) is not None and (most > 0 or level == 0):
             level += 1
             copies = ws.table(copies.groupBy(F.expr(f"part div {FAN}")).applyInArrow(mean, kind), f"copies{k}-{level}")
-        if most is None:  # no tokens
+        if most is None:  # no words
             break
-        model = bytes(copies.first().model)
-    return words, unpack(model, words.size)
+        model = unpack(bytes(copies.first().model), words.size)
+    return words, model
 
 
-def score(docs: DataFrame, words: Words, model: dict) -> DataFrame:
+def score(docs: DataFrame, words: Words, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token)."""
 
     def run(batches):
         for b in batches:
             documents = texts(b)
             total, count = np.zeros(len(documents)), np.zeros(len(documents), np.int64)
-            for ids, around, owner in blocks(words, documents):
-                for a in range(0, len(ids), STEP):
-                    p = log_probabilities(model, ids[a : a + STEP], around[:, a : a + STEP])
-                    np.add.at(total, owner[a : a + STEP], p.astype(np.float64))
-                count += np.bincount(owner, minlength=len(documents))
+            for line, owner, spelled in lines(words, documents, STEP):
+                for part, at, places in windows(line, words.size, STEP):
+                    p = log_probabilities(model, part, at).astype(np.float64)
+                    total += np.bincount(owner[places], p, len(documents))
+                    count += np.bincount(owner[places], minlength=len(documents))
+                for i, s in spelled:
+                    total[i] += s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(total), pa.array(total / np.maximum(count, 1))], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
