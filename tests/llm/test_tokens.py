@@ -68,7 +68,29 @@ def test_token_store(spark):
     for i, t in rows[:20]:
         (found,) = again.get(i)
         assert found.astype("<u4").tobytes() == ids_of(t).tobytes()
-    assert again.get(555) == [] and again.get(-1) == []
+    assert again.get(555) == [] and again.get(-1) == [] and again.get(max(i for i, _ in rows) + 1) == []
+    assert len(store.manifest) > 3
+
+
+def test_keyed_reads_do_not_grow_with_the_shard():
+    class Counting:
+        def __init__(self, data):
+            self.data, self.calls, self.bytes = data, 0, 0
+
+        def read_at(self, n, at):
+            self.calls, self.bytes = self.calls + 1, self.bytes + n
+            return self.data[at : at + n]
+
+    for n in (10, 20_000):
+        ids = [None, *range(3, 3 + 7 * n, 7)]
+        data = token_output._index(ids, [2] * len(ids), 2)
+        for key in (3, 3 + 7 * (n // 2), 3 + 7 * (n - 1)):
+            file = Counting(data)
+            assert token_output.KeyedReader(file).find(key) == [(2 * ids.index(key), 2 * ids.index(key) + 2)]
+            assert file.calls <= 9 and file.bytes < 120
+        assert token_output.KeyedReader(Counting(data)).find(4) == []
+        index = token_output.ShardIndex(data)
+        assert index.places().tolist() == list(range(len(ids))) and index.locate(np.array([4, 3])).tolist() == [-1, 1]
 
 
 def test_token_store_odd_rows(spark):

@@ -2,9 +2,11 @@
 
 Documents are dealt out in ranges of doc_id and sorted; each task writes its range as shards: a .bin file of raw
 little-endian ids (16 bits each where the vocabulary fits, else 32) and a .idx file. The index holds the rows in order
-(doc_id, offset) and a minimal perfect hash from doc_ids to rows with a stored 32-bit fingerprint: a keyed read costs
-one hash, one slot and one range of the payload, and a key that isn't there is refused with certainty once the row's
-doc_id is compared. Files get their names by renaming; manifest rows, one per shard, are written last.
+(doc_id, offset) and a minimal perfect hash from doc_ids to rows with a stored 32-bit fingerprint. A keyed read finds its
+shard by binary search in the manifest, then reads the index's head, one bucket, one slot, one row and one range of the
+payload, whatever the shard's size; a key that isn't there is refused by the fingerprint, and with certainty once the
+row's doc_id is compared. Reading all documents goes through the same hash, many keys at a time. Files get their names by
+renaming; manifest rows, one per shard, are written last.
 
 Null text counts as empty. Order: doc_id ascending, null first; rows that repeat a doc_id follow in input order, and a
 keyed read gives all of them. Null doc_ids are in the payload but have no key. An empty table gives no shards.
@@ -12,6 +14,7 @@ keyed read gives all of them. Null doc_ids are in the payload but have no key. A
 
 from __future__ import annotations
 
+import bisect
 import json
 import struct
 import zlib
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace, read_file, texts, write_file
+from .runtime import Workspace, file_system, read_file, texts, write_file
 from .tokenization import END, encoder
 
 MAGIC = b"VCTOK1\0\0"
@@ -83,8 +86,11 @@ class PerfectHash:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; that of a key which isn't in the set is any slot."""
+        return self.slot(keys, (mix(keys) % np.uint64(len(self.shift))).astype(np.int64))
+
+    def slot(self, keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         h = mix(keys)
-        d = self.shift[(h % np.uint64(len(self.shift))).astype(np.int64)].astype(np.int64)
+        d = self.shift[buckets].astype(np.int64)
         moved = (mix(h + np.maximum(d, 0).astype(np.uint64) * _GOLD) % np.uint64(max(1, self.n))).astype(np.int64)
         return np.where(d < 0, -1 - d, moved)
 
@@ -125,24 +131,60 @@ class ShardIndex:
         self.ids, self.known, self.offsets = take("<i8", n), take("u1", n).astype(bool), take("<u8", n + 1)
         self.hash, self.prints, self.rows = PerfectHash(take("<i4", b), k), take("<u4", k), take("<u4", k)
 
-    def find(self, key: int) -> int | None:
-        """The first row of a doc_id, or None."""
-        if not len(self.rows):
-            return None
-        x = np.array([key], "<i8").view(np.uint64)
-        slot = int(self.hash(x)[0])
-        row = int(self.rows[slot])
-        return row if self.prints[slot] == _print32(x)[0] and self.ids[row] == key else None
-
-    def verify(self) -> None:
-        """Raises unless every key finds its own first row."""
+    def locate(self, keys: np.ndarray) -> np.ndarray:
+        """The first row of each doc_id, -1 for those that aren't there."""
         if not len(self.rows):
-            return
-        keys, rows = np.unique(self.ids[self.known], return_index=True)
-        rows, x = np.flatnonzero(self.known)[rows], keys.view(np.uint64)
+            return np.full(len(keys), -1)
+        x = keys.astype("<i8").view(np.uint64)
         slots = self.hash(x)
-        if (self.rows[slots] != rows).any() or (self.prints[slots] != _print32(x)).any() or len(np.unique(slots)) != len(keys):
+        rows = self.rows[slots].astype(np.int64)
+        return np.where((self.prints[slots] == _print32(x)) & (self.ids[rows] == keys), rows, -1)
+
+    def places(self) -> np.ndarray:
+        """The row of every document in order, found by its key; null doc_ids, which have none, come first."""
+        keys = self.ids[self.known]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.arange(len(keys))
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))  # rows that repeat a doc_id follow its first one
+        found = self.locate(keys)
+        if (found < 0).any():
             raise ValueError("the index doesn't find its own keys")
+        return np.concatenate([np.flatnonzero(~self.known), found + nth])
+
+
+class KeyedReader:
+    """Reads single entries of an .idx file by ranges."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, self.width, _, self.n, self.k, self.b = _HEAD.unpack(file.read_at(_HEAD.size, 0))
+        if magic != MAGIC:
+            raise ValueError("not an index of token shards")
+        self.known = _HEAD.size + 8 * self.n
+        self.offsets = self.known + self.n
+        self.shift = self.offsets + 8 * (self.n + 1)
+        self.prints = self.shift + 4 * self.b
+        self.rows = self.prints + 4 * self.k
+
+    def _at(self, start: int, kind: str, i: int, count: int = 1) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(size * count, start + size * i), kind)
+
+    def find(self, key: int) -> list[tuple[int, int]]:
+        """Ranges (start, end), in ids, of the rows of a doc_id."""
+        if not self.k:
+            return []
+        x = np.array([key], "<i8").view(np.uint64)
+        bucket = int(mix(x)[0] % np.uint64(self.b))
+        slot = int(PerfectHash(self._at(self.shift, "<i4", bucket), self.k).slot(x, np.zeros(1, np.int64))[0])
+        if self._at(self.prints, "<u4", slot)[0] != _print32(x)[0]:
+            return []
+        row, out = int(self._at(self.rows, "<u4", slot)[0]), []
+        while row < self.n and self._at(_HEAD.size, "<i8", row)[0] == key and self._at(self.known, "u1", row)[0]:
+            out.append(tuple(self._at(self.offsets, "<u8", row, 2).tolist()))
+            row += 1
+        return out
 
 
 def write_shards(docs: DataFrame, tokenizer: str, uri: str, ws: Workspace, roll: int = 32 << 20) -> list[dict]:
@@ -205,20 +247,16 @@ class TokenStore:
 
     def get(self, doc_id: int) -> list[np.ndarray]:
         """The ids of the rows of a doc_id: no row, one, or more where it is repeated."""
-        from .runtime import file_system
-
+        known = [m for m in self.manifest if m["least"] is not None]
         out = []
-        for m in self.manifest:
-            if m["least"] is None or not m["least"] <= doc_id <= m["most"]:
-                continue
-            index = ShardIndex(read_file(f"{self.uri}/{m['name']}.idx"))
-            row = index.find(doc_id)
-            files, path = file_system(f"{self.uri}/{m['name']}.bin")
-            with files.open_input_file(path) as f:
-                while row is not None and row < len(index.ids) and index.known[row] and index.ids[row] == doc_id:
-                    a, b = (int(x) * index.width for x in index.offsets[row : row + 2])
-                    out.append(np.frombuffer(f.read_at(b - a, a), f"<u{index.width}"))
-                    row += 1
+        for m in known[bisect.bisect_left(known, doc_id, key=lambda m: m["most"]) :]:
+            if m["least"] > doc_id:
+                break
+            files, path = file_system(f"{self.uri}/{m['name']}")
+            with files.open_input_file(f"{path}.idx") as index, files.open_input_file(f"{path}.bin") as payload:
+                reader = KeyedReader(index)
+                w = reader.width
+                out += [np.frombuffer(payload.read_at((b - a) * w, a * w), f"<u{w}") for a, b in reader.find(doc_id)]
         return out
 
     def read(self) -> DataFrame:
@@ -234,16 +272,12 @@ class TokenStore:
                     index, data = ShardIndex(read_file(f"{uri}/{name}.idx")), read_file(f"{uri}/{name}.bin")
                     if zlib.crc32(data) != crc:
                         raise ValueError(f"{name}: the payload isn't what was written")
-                    index.verify()
-                    ids = np.frombuffer(data, f"<u{index.width}")
-                    for i in range(0, len(index.ids), 4096):
-                        o = index.offsets[i : i + 4097].astype(np.int64)
-                        n = len(o) - 1
-                        wide = ids[o[0] : o[-1]].astype("<u4")
-                        o = o - o[0]
-                        view = memoryview(wide.tobytes())
-                        crcs = [zlib.crc32(view[4 * a : 4 * c]) for a, c in zip(o[:-1].tolist(), o[1:].tolist())]
-                        cols = [pa.array(index.ids[i : i + n], mask=~index.known[i : i + n]), pa.array(base + index.offsets[i : i + n].astype(np.int64)), pa.array(np.diff(o)), pa.array(crcs, pa.int64()), pa.array([name] * n)]
+                    ids, offsets, places = np.frombuffer(data, f"<u{index.width}"), index.offsets.astype(np.int64), index.places()
+                    for i in range(0, len(places), 4096):
+                        rows = places[i : i + 4096]
+                        starts, ends = offsets[rows], offsets[rows + 1]
+                        crcs = [zlib.crc32(ids[a:c].astype("<u4")) for a, c in zip(starts.tolist(), ends.tolist())]
+                        cols = [pa.array(index.ids[rows], mask=~index.known[rows]), pa.array(base + starts), pa.array(ends - starts), pa.array(crcs, pa.int64()), pa.array([name] * len(rows))]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
         table = self.spark.createDataFrame(starts, "name string, base long, crc long").repartition(max(1, len(starts)), "name")
