@@ -59,27 +59,42 @@ def token_estimate(c: Column) -> Column:
     return (F.size(words(c)) * F.lit(TOKENS_PER_WORD)).cast("int")
 
 
-def _lost(c: Column, glyph: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(glyph), F.lit("")))
+def _gaps(c: Column, glyph: str) -> tuple[Column, Column]:
+    """The text before the first lost glyph, and for each glyph (fill: null where no rule explains it, rest: what follows).
 
-
-def repair_ligatures(c: Column, glyph: str = "\x00") -> Column:
-    """Fills lost glyphs from what stands beside them; those left over become ff."""
+    One pass: a glyph's rule depends on the letters on both sides of it, up to the next glyph, and on no other glyph, as no
+    rule's letters hold a ligature.
+    """
     quoted = r"\x00" if glyph == "\x00" else "".join("\\" + x if not x.isalnum() else x for x in glyph)
+    parts = F.split(c, quoted, -1)
+    n = F.size(parts) - 1
+    before, after = max(len(x) for x, _, _ in LIGATURES), max(len(x) for _, x, _ in LIGATURES)
+    sides = F.zip_with(
+        F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(2), n),
+        lambda x, y: F.struct(F.lower(F.right(x, F.lit(before))).alias("left"), F.lower(F.left(y, F.lit(after))).alias("right"), y.alias("rest")),
+    )
 
-    def fill(x: Column, rule: tuple[str, str, str]) -> Column:
-        left, right, letters = rule
-        return F.regexp_replace(x, f"(?i)(?<={left}){quoted}" + (f"(?={right})" if right else ""), letters)
+    def fill(g: Column) -> Column:
+        rules = F.when(F.lit(False), "")
+        for left, right, letters in LIGATURES:
+            near = F.endswith(g["left"], F.lit(left))
+            rules = rules.when(near & F.startswith(g["right"], F.lit(right)) if right else near, letters)
+        return rules
 
-    repaired = F.replace(reduce(fill, LIGATURES, c), F.lit(glyph), F.lit("ff"))
-    return F.when(F.contains(c, F.lit(glyph)), repaired).otherwise(c)
+    return F.get(parts, F.lit(0)), F.transform(sides, lambda g: F.struct(fill(g).alias("fill"), g["rest"].alias("rest")))
+
+
+def repair_ligatures(c: Column, glyph: str = "\x00") -> Column:
+    """Fills lost glyphs from what stands beside them; those left over become ff."""
+    first, gaps = _gaps(c, glyph)
+    filled = F.transform(gaps, lambda g: F.concat(F.coalesce(g["fill"], F.lit("ff")), g["rest"]))
+    return F.when(F.contains(c, F.lit(glyph)), F.concat(first, F.array_join(filled, ""))).otherwise(c)
 
 
 def residual_ligatures(c: Column, glyph: str = "\x00") -> Column:
     """How many lost glyphs no rule explains."""
-    quoted = r"\x00" if glyph == "\x00" else "".join("\\" + x if not x.isalnum() else x for x in glyph)
-    known = reduce(lambda x, r: F.regexp_replace(x, f"(?i)(?<={r[0]}){quoted}" + (f"(?={r[1]})" if r[1] else ""), r[2]), LIGATURES, c)
-    return F.when(F.contains(c, F.lit(glyph)), _lost(known, glyph)).otherwise(F.lit(0) + 0 * F.length(c))
+    left = F.size(F.filter(_gaps(c, glyph)[1], lambda g: g["fill"].isNull()))
+    return F.when(F.contains(c, F.lit(glyph)), left).otherwise(F.lit(0) + 0 * F.length(c))
 
 
 def normalise(c: Column) -> Column:
@@ -152,7 +167,8 @@ def excerpt(c: Column, most: int = 420) -> Column:
 
 
 def asks_for_advice(c: Column, patterns: list[str] = ADVICE) -> Column:
-    return F.lower(c).rlike("(?:" + ")|(?:".join(patterns) + ")")
+    """Word borders are those of Unicode, so letters of any language count."""
+    return F.lower(c).rlike("(?U)(?:" + ")|(?:".join(patterns) + ")")
 
 
 def html_text(c: Column) -> Column:

@@ -46,12 +46,16 @@ def with_vectors(df: DataFrame, text: str, column: str = "embedding", encoder: E
     return df.withColumn(column, F.pandas_udf(encode, "array<float>")(F.col(text)))
 
 
-def fingerprint(chunks: DataFrame, model: str = MODEL) -> str:
-    """A SHA-256 over the model and every chunk's id, tokens and text, whatever their order: each chunk's own digest is
+def fingerprints(chunks: DataFrame, model: str = MODEL) -> DataFrame:
+    """(f), one row: a SHA-256 over the model and every chunk's id, tokens and text, whatever their order: each chunk's own digest is
     cut to 60 bits twice, and the sums over all chunks are hashed. A text that changes changes it."""
     own = F.sha2(F.concat_ws("\x1f", "chunk_id", F.col("n_tokens").cast("string"), "embed_text"), 256)
     part = lambda a: F.sum(F.conv(F.substring(own, a, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    return chunks.agg(F.sha2(F.concat_ws("|", F.lit(model), F.count("*").cast("string"), part(1), part(16)), 256).alias("f")).first().f
+    return chunks.agg(F.sha2(F.concat_ws("|", F.lit(model), F.count("*").cast("string"), part(1), part(16)), 256).alias("f"))
+
+
+def fingerprint(chunks: DataFrame, model: str = MODEL) -> str:
+    return fingerprints(chunks, model).first().f
 
 
 def build_chunks(spark: SparkSession, xml_folder: str, text_folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
+from ..storage import first_rows
 
 
 def chunk_stats(chunks: DataFrame, by: str = "source_id", tokens: str = "n_tokens") -> DataFrame:
@@ -30,6 +31,20 @@ def bodies_by_source(rows: DataFrame) -> DataFrame:
     return g.where("n > 1").drop("n")
 
 
+def bodies_elsewhere(rows: DataFrame) -> DataFrame:
+    """(doc_id, other_doc, body_key): each row whose text another source has too, beside the last row of it there.
+
+    Sources' last rows are found before anything is joined, and of a text's sources only the two with the last rows matter.
+    """
+    keyed = rows.select("doc_id", "source", F.sha2("text", 256).alias("body_key"))
+    last = keyed.groupBy("body_key", "source").agg(F.max("doc_id").alias("last_doc"))
+    two = first_rows(last, ["body_key"], [F.desc("last_doc")], 2).groupBy("body_key").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("source"))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col("last_doc"))).alias("best_doc"), F.max(F.when(F.col("rank") == 2, F.col("last_doc"))).alias("second_doc")
+    )
+    j = keyed.join(two.where("second_doc is not null"), "body_key")
+    return j.select("doc_id", F.when(F.col("source") == F.col("best"), F.col("second_doc")).otherwise(F.col("best_doc")).alias("other_doc"), "body_key")
+
+
 def shared_values(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column that both have."""
     return left.select(column).intersect(right.select(column))

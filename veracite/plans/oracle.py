@@ -25,6 +25,12 @@ def _words(x: str) -> str:
     return f"(CASE WHEN {_squash(x)} = '' THEN 0 ELSE len(string_split({_squash(x)}, ' ')) END)"
 
 
+def _whole(pattern: str) -> str:
+    """A pattern between word borders of Unicode, which this dialect's own are not."""
+    word = r"\p{L}\p{M}\p{N}\p{Pc}"
+    return rf"(?:^|[^{word}]){pattern.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')}(?:$|[^{word}])"
+
+
 DOCS = "docs AS (SELECT doc_id, coalesce(\"text\", '') AS t, lang, source FROM documents)"
 INDEX = """idx AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, 'j' || (label % 3) AS j, 's' || label AS s, CASE WHEN label = 9 THEN 'WITHDRAWN' ELSE 'in_force' END AS status FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -121,8 +127,8 @@ ORACLE = {
     "l2_norm_check": "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings",
     "dedup_merge": f"WITH {DOCS} SELECT sha256(t) AS body_sha, min(doc_id) AS first_doc, count(*) AS n_docs, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources FROM docs GROUP BY t",
     "dedup_stats": f"WITH {DOCS}, g AS (SELECT count(*) AS n, count(DISTINCT source) AS s FROM docs GROUP BY t) SELECT CAST(sum(n) AS BIGINT) AS n_docs, count(*) AS n_texts, count(*) FILTER (n > 1) AS n_groups, max(n) AS largest, count(*) FILTER (s > 1) AS n_across FROM g",
-    "near_dup_pairs": f"WITH {DOCS}, r AS (SELECT t, max(doc_id) AS right_doc FROM docs WHERE source = 'src1' GROUP BY t) SELECT d.doc_id AS left_doc, r.right_doc, sha256(d.t) AS body_key FROM docs d JOIN r ON d.t = r.t WHERE d.source = 'src0'",
-    "shared_bodies": f"WITH {DOCS} SELECT sha256(t) AS body_key FROM (SELECT t FROM docs WHERE source = 'src0' INTERSECT SELECT t FROM docs WHERE source <> 'src0')",
+    "near_dup_pairs": f"WITH {DOCS} SELECT d.doc_id AS left_doc, max(e.doc_id) AS right_doc, sha256(any_value(d.t)) AS body_key FROM docs d JOIN docs e ON d.t = e.t AND d.source <> e.source GROUP BY d.doc_id",
+    "shared_bodies": f"WITH {DOCS}, p AS (SELECT t, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 AS odd FROM docs) SELECT sha256(t) AS body_key FROM (SELECT t FROM p WHERE odd = 0 INTERSECT SELECT t FROM p WHERE odd = 1)",
     "equal_bodies": f"WITH {DOCS} SELECT sha256(t) AS body_key, source, max(doc_id) AS last_doc, count(*) AS n_docs FROM docs GROUP BY t, source QUALIFY count(*) OVER (PARTITION BY t) > 1",
     "likeness_by_label": f"WITH {INDEX}, {_ranked()} SELECT round(avg(score), 4) AS mean, round(min(score), 4) AS least, round(max(score), 4) AS most, count(*) FILTER (score > 0.5) AS n_above, count(*) AS n FROM ranked WHERE rank = 1",
     "token_estimate": f"WITH {DOCS} SELECT doc_id, {_tokens('t')} AS n_tokens FROM docs",
@@ -141,6 +147,16 @@ SELECT source, start, CAST(floor(n_words * CAST(1.3 AS DOUBLE)) AS INTEGER) AS n
     "ligature_repair": f"WITH {DOCS}, g AS (SELECT doc_id, regexp_replace(t, 'f[filt]', '~', 'gi') AS t FROM docs), r AS (SELECT doc_id, {_ligatures('t', '~')} AS t FROM g) SELECT doc_id, length(t) - length(replace(t, '~', '')) AS residual, sha256(replace(t, '~', 'ff')) AS text_sha FROM r",
     "normalise_text": f"WITH {DOCS} SELECT doc_id, sha256(regexp_replace(replace(replace(t, chr(61623), '•'), chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g')) AS text_sha, sha256({_squash('t')}) AS squashed_sha FROM docs",
     "section_fold": f"WITH {_TURNS}, g AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS grp FROM c) SELECT conv_id, grp, count(*) AS n_turns, sha256(string_agg(t, ' ' ORDER BY turn)) AS body_sha FROM g GROUP BY conv_id, grp",
+    "part_units": f"""WITH {_TURNS}, p AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '(' || chr(CAST(97 + turn % 26 AS INTEGER)) || ') ' ELSE '' END || t AS t FROM c),
+m AS (SELECT *, regexp_extract(t, '^([A-Z])\\.{_WS}+[A-Z(“]', 1) AS big, regexp_extract(t, '^\\(([a-z])\\){_WS}+', 1) AS small FROM p),
+k AS (SELECT conv_id, turn, nullif(big || small, '') AS letter, CASE WHEN big <> '' THEN regexp_replace(t, '^[A-Z]\\.{_WS}+', '') WHEN small <> '' THEN regexp_replace(t, '^\\([a-z]\\){_WS}+', '') ELSE t END AS t FROM m),
+g AS (SELECT *, CAST(sum(CASE WHEN letter IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS grp FROM k)
+SELECT CAST(conv_id AS VARCHAR) AS source_id, grp AS unit_ord, max(letter) AS subsection, sha256({_strip("string_agg(t, ' ' ORDER BY turn)")}) AS body_sha FROM g GROUP BY conv_id, grp""",
+    "labelled_blocks": f"""WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM docs),
+b AS (SELECT doc_id, i, {_strip("regexp_replace(CASE WHEN i % 3 = 0 THEN '§ 5-' || i || '. A ' ELSE '' END || x, '[ " + chr(92) + "t]+', ' ', 'g')")} AS x FROM l),
+m AS (SELECT *, CASE WHEN length(x) > 80 THEN nullif(regexp_extract(x, '^(?:§+{_WS}*|Sec(?:tion)?\\.?{_WS}+)?((?:\\d+[-.]\\d+(?:[-.]\\d+)*)|(?:\\d{{1,3}})){_WS}*[.:—-]?{_WS}+[A-Z]', 1), '') END AS mark FROM b WHERE x <> ''),
+g AS (SELECT *, CAST(sum(CASE WHEN mark IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS grp FROM m)
+SELECT doc_id, grp, max(mark) AS label, sha256({_strip("string_agg(x, ' ' ORDER BY i)")}) AS body_sha FROM g GROUP BY doc_id, grp""",
     "size_fold": f"WITH {_TURNS}, a AS (SELECT *, length(t) >= 200 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS st FROM c), g AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM a) SELECT conv_id, min(turn) AS turn, count(*) AS n_turns, sha256(string_agg(t, ' ' ORDER BY turn)) AS body_sha FROM g GROUP BY conv_id, f",
     "label_carry": "SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN role || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations",
     "long_split": f"""WITH RECURSIVE {DOCS}, s AS (SELECT doc_id, -1 AS piece, '' AS body, {_strip('t')} AS rest FROM docs
@@ -149,7 +165,7 @@ SELECT source, start, CAST(floor(n_words * CAST(1.3 AS DOUBLE)) AS INTEGER) AS n
 SELECT doc_id, piece, length(body) AS n_chars, sha256(body) AS body_sha FROM s WHERE piece >= 0""",
     "html_text": "WITH p AS (SELECT page_id, " + _html("coalesce(html, '')") + " AS t FROM pages) SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha FROM p",
     "excerpt": f"WITH {DOCS}, s AS (SELECT doc_id, t, {_strip('t')} AS x FROM docs) SELECT doc_id, {_excerpt('x', 420)} AS excerpt, substring(t, 1, 300) AS raw_excerpt FROM s",
-    "advice_filter": "WITH c AS (SELECT conv_id, turn, coalesce(\"text\", '') AS t FROM conversations WHERE role = 'user' UNION ALL VALUES (-1, 0, 'Should I settle this?'), (-2, 0, 'What must an audit state?'), (-3, 0, 'CAN I SUE them'), (-4, 0, 'shouldi sue')) SELECT conv_id, turn, regexp_matches(lower(t), '" + "|".join(T.ADVICE + WORDS) + "') AS declined FROM c",
+    "advice_filter": "WITH c AS (SELECT conv_id, turn, coalesce(\"text\", '') AS t FROM conversations WHERE role = 'user' UNION ALL VALUES (-1, 0, 'Should I settle this?'), (-2, 0, 'What must an audit state?'), (-3, 0, 'CAN I SUE them'), (-4, 0, 'shouldi sue')) SELECT conv_id, turn, regexp_matches(lower(t), '" + "|".join(map(_whole, T.ADVICE + WORDS)) + "') AS declined FROM c",
     "header_build": f"{_STATUS}, h AS (SELECT doc_id, source || ' | ' || lang || ' | 29 CFR ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '(a)' ELSE '' END || CASE WHEN status <> 'in_force' THEN ' | STATUS: ' || status ELSE '' END AS h FROM st) SELECT doc_id, {_squash('h')} AS header FROM h",
     "citation_order": f"WITH {DOCS}, c AS (SELECT DISTINCT lang, CASE doc_id % 3 WHEN 0 THEN '41 CFR ' WHEN 1 THEN '29 CFR ' ELSE '10 Local ' END || source AS c FROM docs) SELECT lang, string_agg(c, '; ' ORDER BY CASE WHEN starts_with(c, '29 CFR') THEN 0 WHEN starts_with(c, '41 CFR') THEN 1 ELSE 2 END, c) AS citations FROM c GROUP BY lang",
     "withdrawn_flag": f"{_STATUS} SELECT source, bool_or(status <> 'in_force') AS withdrawn, count(*) AS n FROM st GROUP BY source",
@@ -167,6 +183,10 @@ s AS (SELECT DISTINCT source FROM documents) SELECT id, kind, wanted FROM b WHER
     "matcher_kinds": "SELECT CASE item_id % 4 WHEN 0 THEN 'citation' WHEN 1 THEN 'citation_contains' WHEN 2 THEN 'source_id' ELSE 'none' END AS kind, count(*) AS n FROM benchmark GROUP BY 1",
     "benchmark_overlap": f"WITH {DOCS} SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM docs JOIN benchmark b ON length(b.\"text\") > 0 AND contains(t, b.\"text\") GROUP BY doc_id",
     "fingerprint": f"WITH {DOCS} SELECT source, count(*) AS n, CAST(sum(CAST('0x' || substring(sha256(doc_id || '|' || {_tokens('t')} || '|' || t), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM docs GROUP BY source",
+    "index_fingerprint": f"""WITH {DOCS}, h AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), CAST({_tokens('t')} AS VARCHAR), t)) AS h FROM docs),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS b FROM h)
+SELECT sha256(concat_ws('|', 'hashed-words-256', CAST(n AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR))) AS fingerprint FROM s""",
+    "checked_index": "SELECT vec_id AS ord, 'c' || vec_id AS chunk_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings",
     "index_integrity": "SELECT count(*) AS n, count(*) FILTER (l.doc_id IS NULL) AS no_label, count(*) FILTER (d.doc_id IS NULL) AS no_document FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
     "top_per_source": f"WITH {DOCS}, k AS (SELECT source, doc_id, {_tokens('t')} AS n_tokens FROM docs) SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY n_tokens DESC, doc_id) AS INTEGER) AS rank, doc_id, n_tokens FROM k QUALIFY rank <= 3",
 }

@@ -121,25 +121,23 @@ def dedup_stats(spark, sf_dir):
     return m.agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n_texts"), F.count_if(F.col("n_docs") > 1).alias("n_groups"), F.max("n_docs").alias("largest"), F.count_if(F.contains("sources", F.lit("; "))).alias("n_across"))
 
 
-def _of_source(spark, sf_dir, source):
-    return docs(spark, sf_dir).where(F.col("source") == source).select(F.col("doc_id").alias("ord"), F.col("text").alias("body"))
-
-
 @query
 def near_dup_pairs(spark, sf_dir):
-    p = stats.same_body_pairs(_of_source(spark, sf_dir, "src0"), _of_source(spark, sf_dir, "src1"), ["ord"])
-    return p.select(F.col("a_ord").alias("left_doc"), F.col("b_ord").alias("right_doc"), "body_key")
+    """Each document whose text another source has too, beside the last document of it there."""
+    p = stats.bodies_elsewhere(docs(spark, sf_dir))
+    return p.select(F.col("doc_id").alias("left_doc"), F.col("other_doc").alias("right_doc"), "body_key")
 
 
 @query
 def shared_bodies(spark, sf_dir):
-    d = docs(spark, sf_dir).select("source", F.sha2("text", 256).alias("body_key"))
-    return stats.shared_values(d.where("source = 'src0'"), d.where("source <> 'src0'"), "body_key")
+    """The texts that sources of even and of odd numbers share; every source is on one of the sides."""
+    d = docs(spark, sf_dir).select((F.regexp_extract("source", "[0-9]+", 0).cast("int") % 2 == 0).alias("even"), F.sha2("text", 256).alias("body_key"))
+    return stats.shared_values(d.where("even"), d.where("not coalesce(even, false)"), "body_key")
 
 
 @query
 def equal_bodies(spark, sf_dir):
-    """The texts that any two sources share, over the whole table: near_dup_pairs and shared_bodies name their sources."""
+    """The texts that any two sources share, with the last document and the number of them in each."""
     return stats.bodies_by_source(docs(spark, sf_dir))
 
 
@@ -212,6 +210,24 @@ def section_fold(spark, sf_dir):
     return c.groupBy("conv_id", "grp").agg(F.count("*").alias("n_turns"), F.sha2(body, 256).alias("body_sha"))
 
 
+@query
+def part_units(spark, sf_dir):
+    """Turns of a conversation as the paragraphs of a section: a user's turn is marked and starts a subsection."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.when(F.col("role") == "user", F.concat(F.lit("("), F.chr(F.lit(97) + F.col("turn") % 26), F.lit(") "))).otherwise(F.lit(""))
+    empty = F.lit("")
+    p = c.select("source_id", empty.alias("part"), empty.alias("part_title"), F.lit(0).alias("sec_ord"), empty.alias("section"), empty.alias("section_heading"), empty.alias("citation"), F.col("turn").cast("int").alias("para_ord"), F.concat(mark, "text").alias("text"))
+    return ingest.part_units(p).select("source_id", "unit_ord", "subsection", F.sha2("text", 256).alias("body_sha"))
+
+
+@query
+def labelled_blocks(spark, sf_dir):
+    """Lines as blocks, every third with a section number: those of more than 80 characters label the blocks after them."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.when(i % 3 == 0, F.concat(F.lit("§ 5-"), i.cast("string"), F.lit(". A "))).otherwise(F.lit("")), x))
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.array_join(lines, "\n\n").alias("text"))
+    return ingest.labelled_blocks(d).select(F.col("source_id").alias("doc_id"), F.col("grp").cast("long").alias("grp"), "label", F.sha2("body", 256).alias("body_sha"))
+
+
 @query
 def size_fold(spark, sf_dir):
     """Turns shorter than 200 characters join the turn before them."""
@@ -377,6 +393,23 @@ def fingerprint(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(own, 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 
+@query
+def index_fingerprint(spark, sf_dir):
+    """The fingerprint of an index whose chunks are the documents."""
+    n = T.token_estimate(F.col("text"))
+    d = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), n.alias("n_tokens"), F.col("text").alias("embed_text"))
+    return indexing.fingerprints(d).withColumnRenamed("f", "fingerprint")
+
+
+@query
+def checked_index(spark, sf_dir):
+    """Chunks beside their vectors; one without the other would raise."""
+    e = table(spark, sf_dir, "embeddings")
+    chunks = e.select(F.col("vec_id").alias("ord"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"))
+    j = indexing.checked_index(chunks, e.select(F.col("vec_id").alias("ord"), "embedding"))
+    return j.select("ord", "chunk_id", F.size("embedding").alias("dim"))
+
+
 @query
 def index_integrity(spark, sf_dir):
     """Documents without labels and labels without documents."""
