@@ -1,4 +1,4 @@
-"""python -m veracite build|ask|search|evaluate|validate|stats --index FOLDER ..."""
+"""python -m veracite build|ask|search|serve|evaluate|validate|stats --index FOLDER ..., or fetch --manifest FILE --out FOLDER"""
 
 from __future__ import annotations
 
@@ -13,14 +13,19 @@ from .operators import evaluate as E
 from .operators import index as I
 from .operators import stats
 from .service import Service
+from .sources import manifests
 from .sources.files import exists, write_bytes
+from .web import server
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="veracite", description=__doc__)
-    p.add_argument("what", choices=["build", "ask", "search", "evaluate", "validate", "stats"])
+    p.add_argument("what", choices=["fetch", "build", "ask", "search", "serve", "evaluate", "validate", "stats"])
     p.add_argument("question", nargs="?")
-    p.add_argument("--index", required=True)
+    p.add_argument("--index")
+    p.add_argument("--manifest", help="JSON file that names the sources to fetch")
+    p.add_argument("--kind", help="fetch sources of this kind only")
+    p.add_argument("--port", type=int, default=8000)
     p.add_argument("--xml", help="folder of .xml parts")
     p.add_argument("--texts", help="folder of .txt sources with .meta.json beside them")
     p.add_argument("--golden", help="JSON lines of golden questions")
@@ -29,7 +34,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--no-multihop", action="store_true")
     p.add_argument("--set-baseline", action="store_true")
     a = p.parse_args(argv)
+    for name in ("manifest", "out") if a.what == "fetch" else ("index",):
+        if not getattr(a, name):
+            p.error(f"--{name} is required")
     spark = SparkSession.builder.appName("veracite").getOrCreate()
+    if a.what == "fetch":
+        return fetched(manifests.fetch(spark, manifests.manifest(spark, a.manifest, a.kind), a.out))
+    if a.what == "serve":
+        server(Service(spark, a.index), port=a.port).serve_forever()
     if a.what == "build":
         print(I.build(spark, a.xml, a.texts, a.index).count(), "chunks")
         return 0
@@ -39,6 +51,8 @@ def main(argv: list[str] | None = None) -> int:
     index = I.load(spark, a.index)
     if a.what == "stats":
         stats.chunk_stats(index).orderBy("source_id").show(1000, False)
+        own = index.select(F.explode("source_ids").alias("source"), F.col("ord").alias("doc_id"), F.col("body").alias("text"))
+        stats.bodies_by_source(own).orderBy("body_key", "source").show(1000, False)
         return 0
     golden = E.golden(spark, a.golden)
     if a.what == "validate":
@@ -49,6 +63,16 @@ def main(argv: list[str] | None = None) -> int:
     return gate(spark, E.evaluate(I.with_vectors(golden, "question"), index, a.k, not a.no_multihop).cache(), a.k, a.out, a.set_baseline)
 
 
+def fetched(status) -> int:
+    """Prints the outcome of each source; gives 1 if one failed."""
+    status = status.cache()
+    for r in status.collect():  # one row per source of a manifest
+        print(f"{r.id}: {r.bytes} bytes" if r.ok else f"{r.id}: {r.error}")
+    total = manifests.fetch_summary(status).first()
+    print(f"{total.n_ok} of {total.n} sources fetched" + (f"; unresolved: {total.unresolved}" if total.unresolved else ""))
+    return int(total.n_ok < total.n)
+
+
 def gate(spark: SparkSession, scores, k: int, out: str | None, set_baseline: bool = False) -> int:
     """Prints the report, keeps the run in latest.json, and gives 1 if it is worse than baseline.json."""
     print(E.report(scores, k))
