@@ -53,6 +53,8 @@ LENGTH, GRAM = 50, 24
 #: Bytes of several documents in a chunk, and windows in a slice; identifiers for which there is a shard, and the least
 #: number of shards; chunks whose answers share a file; windows of a run, to guess how many identifiers round 3 has.
 CHUNK, KEYS, SHARDS, GROUP, USUAL_RUN = 1 << 20, 300_000, 48, 64, 32
+#: Bytes of a run: its distance from the one before, its length less one, and its pointer of 56 bits.
+RUN = 15
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -93,7 +95,7 @@ def runs_of(data: bytes, a: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = valid.copy()
     last[:-1] &= new[1:] | ~valid[1:]
     first = np.flatnonzero(new)
-    return first, np.flatnonzero(last), _mix(least[first] + _K[1])
+    return first, np.flatnonzero(last), _mix(least[first] + _K[1]) & np.uint64((1 << 56) - 1)
 
 
 def run_names(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -141,7 +143,9 @@ def pack_runs(data: bytes, lengths: list[int]) -> list[bytes]:
     out = []
     for a in range(0, n, CHUNK):
         first, last, bucket = runs_of(data, a, valid[a : a + CHUNK])
-        out.append(first.astype("<u4").tobytes() + (last - first).astype("<u4").tobytes() + bucket.astype("<u8").tobytes())
+        gaps = first - np.concatenate([[0], last[:-1]])  # mostly 1, which takes no room once compressed
+        high = (bucket >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        out.append(gaps.astype("<u4").tobytes() + (last - first).astype("<u4").tobytes() + bucket.astype("<u4").tobytes() + high.tobytes())
     return out
 
 
@@ -149,16 +153,20 @@ def slices(number: int, lengths: np.ndarray, runs: list[bytes]) -> Iterator[Slic
     starts = np.cumsum(lengths) - lengths
     total = int(lengths.sum())
     for part, blob in enumerate(runs):
-        n, base = len(blob) // 16, part * CHUNK
-        first = np.frombuffer(blob, "<u4", n).astype(np.int64)
-        last = first + np.frombuffer(blob, "<u4", n, 4 * n)
+        n, base = len(blob) // RUN, part * CHUNK
+        span = np.frombuffer(blob, "<u4", n, 4 * n).astype(np.int64)
+        last = np.cumsum(np.frombuffer(blob, "<u4", n) + span)
+        first = last - span
+        high = np.zeros((n, 4), np.uint8)
+        high[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, 12 * n).reshape(-1, 3)
+        bucket = (high.view("<u4")[:, 0].astype(np.uint64) << np.uint64(32)) | np.frombuffer(blob, "<u4", n, 8 * n)
         if n:
-            yield Slice(number, part, base, min(CHUNK, total - base), first, last, np.frombuffer(blob, "<u8", n, 8 * n).astype(np.uint64), np.searchsorted(starts, first + base, "right") - 1)
+            yield Slice(number, part, base, min(CHUNK, total - base), first, last, bucket, np.searchsorted(starts, first + base, "right") - 1)
 
 
 def route(bucket: np.ndarray, shards: int) -> np.ndarray:
     """A pointer's place: its shard, then 32 bits."""
-    return ((((bucket >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)) << np.uint64(32)) | (bucket & np.uint64(0xFFFFFFFF))
+    return ((((bucket >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(24)) << np.uint64(32)) | (bucket & np.uint64(0xFFFFFFFF))
 
 
 class Keys:
@@ -352,7 +360,7 @@ def _judged(docs: DataFrame, schema, columns) -> DataFrame:
     ws = Workspace(docs.sparkSession, "suffix-dedup")
     chunks = ws.table(_packed(docs), "chunks", "zstd")
     count = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x).cast("long"))
-    left = (chunks.agg(F.sum(count(F.col("runs")))).first()[0] or 0) // 16
+    left = (chunks.agg(F.sum(count(F.col("runs")))).first()[0] or 0) // RUN
     forget(docs.sparkSession)
     answered: list[tuple[str, int]] = []
     for k in range(3):
