@@ -36,9 +36,9 @@ from .runtime import Workspace, texts
 #: Most documents of each sample that a fit takes, and most features it keeps.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 6000
 THRESHOLD = 0.3
-#: Bytes of the stems; words for each of which something dense occurs at least once; and what a feature must have: its
-#: share of the positive sample is so many times that of the unlabelled one, and so great is the chi-square of the two.
-STEMS, SPREAD, LIFT, APART = (4, 5, 6), 128, 2.0, 20
+#: Bytes of the stems; words for each of which something dense occurs at least once; and what a feature must have: so many
+#: positive documents, a share of them that is so many times that of the unlabelled ones, and such a chi-square of the two.
+STEMS, SPREAD, LEAST, LIFT, APART = (4, 5, 6), 128, 3, 2.0, 20
 _SPLIT = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 
 
@@ -98,15 +98,10 @@ def choose(counts: list[tuple[bytes, int, int]], n_p: int, n_u: int) -> list[byt
         both = (a + b) / (n_p + n_u)
         return (a / n_p - b / n_u) ** 2 / (both * (1 - both) + 1e-9) * n_p * n_u / (n_p + n_u)
 
-    found = [(apart(a, b), x) for x, a, b in counts if a >= least(n_p) and a / n_p > LIFT * b / n_u]
+    found = [(apart(a, b), x) for x, a, b in counts if a >= LEAST and a / n_p > LIFT * b / n_u]
     return [x for d, x in sorted(found, key=lambda f: (-f[0], f[1])) if d > APART][:FEATURES]
 
 
-def least(n_p: int) -> int:
-    """Positive documents that a feature must have."""
-    return max(3, n_p // 40)
-
-
 def descend(positive: list[list[int]], unlabelled: list[list[int]], chosen: list[bytes], prior: float, rounds: int = 300) -> Model:
     """Descends the non-negative risk (Adam, whole samples) over documents given by the places of their chosen features."""
     n_p, n_u, k = len(positive), len(unlabelled), len(chosen)
@@ -197,8 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["x", "p", "u"])
 
     counts = sample.select("kind", "found").mapInArrow(counted, "x binary, p long, u long").groupBy("x").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    could = counts.where((F.col("p") >= least(n_p)) & (F.col("p") / n_p > F.lit(LIFT) * F.col("u") / n_u))
-    chosen = choose([(bytes(r.x), r.p, r.u) for r in could.collect()], n_p, n_u)  # features of a bounded sample
+    both = (F.col("p") + F.col("u")) / (n_p + n_u)
+    apart = F.pow(F.col("p") / n_p - F.col("u") / n_u, 2) / (both * (1 - both) + 1e-9) * (n_p * n_u / (n_p + n_u))
+    could = counts.where((F.col("p") >= LEAST) & (F.col("p") / n_p > F.lit(LIFT) * F.col("u") / n_u)).withColumn("apart", apart)
+    could = could.where(F.col("apart") > APART - 1).orderBy(F.desc("apart"), "x").limit(FEATURES)  # of a bounded sample; choose() decides
+    chosen = choose([(bytes(r.x), r.p, r.u) for r in could.collect()], n_p, n_u)
     at = {x: i for i, x in enumerate(chosen)}
 
     def places(batches):
