@@ -55,8 +55,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read, write
 
-    uri, manifest = write(_table(spark, sf_dir, "pages"))
-    return read(spark, uri, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

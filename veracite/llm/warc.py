@@ -2,8 +2,8 @@
 
 Records are range-sorted by page_id; each task writes its range as files of gzip members, one record each, and rolls to
 the next file once the compressed size reaches `roll`. Headers, lengths and digests are made anew from the payload.
-Files get their names by renaming, the manifest (one entry per file) is written last in the same way, so what a lost or
-repeated task leaves is never read.
+Files get their names by renaming; the manifest, a table with one row per file, is committed last, so what a lost or
+repeated task leaves is never read. It is written and read on the executors.
 
 Of records with equal payloads of at least `least` bytes, the one with the greatest page_id is written as a response,
 the others as revisits that refer to it; shorter ones are all responses. Payloads are equal if SHA-256, SHA-1 and length
@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -113,8 +112,8 @@ def decisions(pages: DataFrame, ws: Workspace, least: int = LEAST) -> DataFrame:
     return ws.table(found.select("page_id", "sha256", F.col("best").alias("refers_to")), "decisions")
 
 
-def write(pages: DataFrame, uri: str | None = None, least: int = LEAST, roll: int = ROLL, date: str = "2000-01-01T00:00:00Z") -> tuple[str, list[dict]]:
-    """Writes pages (page_id, url, html) as WARC files below uri; gives uri and the manifest."""
+def write(pages: DataFrame, uri: str | None = None, least: int = LEAST, roll: int = ROLL, date: str = "2000-01-01T00:00:00Z") -> str:
+    """Writes pages (page_id, url, html) as WARC files below uri, which it gives."""
     ws = Workspace(pages.sparkSession, "warc")
     uri = uri or f"{ws.uri}/files"
     told = decisions(pages, ws, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha256", "refers_to", F.lit(0).alias("kind"))
@@ -160,18 +159,21 @@ def write(pages: DataFrame, uri: str | None = None, least: int = LEAST, roll: in
 
     # Decisions come before the rows of their page_id, and in the same range: the ranges go by page_id alone.
     dealt = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "nth")
-    done = ws.table(dealt.select("page_id", "url", "html", "sha256", "refers_to", "kind").mapInArrow(run, "name string, records long, bytes long, sha256 string, least long, most long"), "manifest")
-    manifest = [r.asDict() for r in done.orderBy("name").collect()]  # one row per file
-    write_file(f"{uri}/manifest.json", json.dumps(manifest).encode())
-    return uri, manifest
+    done = dealt.select("page_id", "url", "html", "sha256", "refers_to", "kind").mapInArrow(run, "name string, records long, bytes long, sha256 string, least long, most long")
+    done.write.mode("overwrite").parquet(f"{uri}/manifest")
+    return uri
+
+
+def manifest(spark, uri: str) -> DataFrame:
+    """(name, records, bytes, sha256, least, most), one row per file."""
+    return spark.read.schema("name string, records long, bytes long, sha256 string, least long, most long").parquet(f"{uri}/manifest")
 
 
 _MANIFEST = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("least", pa.int64()), ("most", pa.int64())])
 
 
-def read(spark, uri: str, manifest: list[dict] | None = None, with_payload: bool = False) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url; with_payload: html, null in revisits."""
-    manifest = json.loads(read_file(f"{uri}/manifest.json")) if manifest is None else manifest
+def read(spark, uri: str, with_payload: bool = False) -> DataFrame:
+    """One row per record, from the files of the manifest: page_id, payload_bytes, payload_digest, record_type, refers_to, url; with_payload: html, null in revisits."""
 
     def run(batches):
         for b in batches:
@@ -198,5 +200,6 @@ def read(spark, uri: str, manifest: list[dict] | None = None, with_payload: bool
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    files = spark.createDataFrame([(m["name"], m["sha256"]) for m in manifest], "name string, sha256 string").repartition(max(1, len(manifest)), "name")
+    files = manifest(spark, uri).select("name", "sha256")
+    files = files.repartition(max(1, files.count()), "name")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", html string" * with_payload)
