@@ -17,6 +17,9 @@ _STOP = "<|endoftext|>"
 #: Characters that normalisation only lower-cases, one by one: printable ASCII, and letters up to U+017F without U+0130
 #: and U+0149. Words of them are split into pre-tokens here, as the tokenizer's own pattern does.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
+_PLAIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]*")
+#: A full stop or comma beside another mark, with which it is one pre-token.
+_BESIDE = re.compile(rb"[.,][^\sA-Za-z0-9\x80-\xff]|[^\sA-Za-z0-9\x80-\xff][.,]")
 _PRE = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -50,7 +53,7 @@ class WordEncoder:
     both are kept in two generations. Texts that could hold a special token's string go through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,7 +64,7 @@ class WordEncoder:
         steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
         split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.plain = _PLAIN.fullmatch if steps == ["NFC", "Replace", "Lowercase"] and split == _PATTERN else lambda w: None
-        self.words, self.parts = _Kept(limit), _Kept(limit)
+        self.words, self.parts = _Kept(limit), _Kept(limit // 8)
 
     def _ids(self, text: str) -> np.ndarray:
         # the fast form leaves out offsets; its ids are the same
@@ -81,7 +84,9 @@ class WordEncoder:
         split, whole = {}, []
         for w in self.words.missing(part):
             t = w.decode()
-            if self.plain(t):
+            if t.isalpha():
+                whole.append(t)
+            elif self.plain(t):
                 split[w] = _PRE.findall(t.lower())
             else:
                 whole.append(t)
@@ -98,6 +103,11 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text or self.stop is None:
             return self._ids(text.decode()).tobytes()
+        if self.plain("a") and (text.isascii() or _PLAIN_TEXT.fullmatch(text.decode())):
+            # Fewer different words: case doesn't matter in such a text, nor does a space between a letter and a mark.
+            text = text.lower()
+            if not _BESIDE.search(text):
+                text = text.replace(b".", b" . ").replace(b",", b" , ")
         out = []
         words = text.split()
         for i in range(0, len(words), 1 << 16):
