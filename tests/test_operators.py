@@ -341,3 +341,19 @@ def test_stats(spark):
     assert [(r.a_ord, r.b_ord) for r in pairs.collect()] == [(1, 8)]
     assert tuple(stats.likeness(pairs, F.col("a_v"), F.col("b_v")).first()) == (1.0, 1.0, 1.0, 1, 1)
     assert [r.body for r in stats.shared_values(left, right, "body").collect()] == ["x"]
+
+
+def test_contained_pairs_match_brute_force(spark):
+    import random
+
+    from veracite.operators import evaluate
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "bb", "ccc", "dd,", "e\n", ""])
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, None), (61, "")]
+    items = {" ".join(word() for _ in range(rng.randrange(1, 6))) for _ in range(60)} | {"b ccc a", "c dd, b", "x y z"}
+    items |= {t[rng.randrange(5) :][: rng.randrange(3, 30)] for _, t in texts if t}
+    rows = spark.createDataFrame(texts + texts[:2], "doc_id long, text string")
+    asked = spark.createDataFrame([(x,) for x in items] + [(None,)], "item string")
+    got = sorted((r.doc_id, r.item) for r in evaluate.contained_pairs(rows, "text", asked, 7).collect())
+    assert got == sorted((i, x) for i, t in texts + texts[:2] if t is not None for x in items if x in t)

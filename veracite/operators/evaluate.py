@@ -87,22 +87,39 @@ def items_in(text: Column, items: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, items)), lambda x: F.contains(text, x))
 
 
-def contained_pairs(rows: DataFrame, text: str, items: DataFrame, block: int = 200) -> DataFrame:
-    """rows with each `item` that their text contains. items (item) is a stated set: it goes to the rows in blocks of fixed
-    size, one scan each; nothing is joined, and rows aren't shuffled."""
+def _listed_pairs(rows: DataFrame, text: str, items: DataFrame, block: int) -> DataFrame | None:
+    """rows with each `item` that their text contains, by blocks of items and one scan each; None without items."""
     out, held = None, []
 
     def scan():
         found = rows.withColumn("item", F.explode(items_in(F.col(text), held)))
         return found if out is None else out.union(found)
 
-    for r in items.where("item is not null").distinct().toLocalIterator():
+    for r in items.toLocalIterator():
         held.append(r.item)
         if len(held) == block:
             out, held = scan(), []
-    if held:
-        out = scan()
-    return rows.withColumn("item", F.lit("")).where("false") if out is None else out
+    return scan() if held else out
+
+
+def contained_pairs(rows: DataFrame, text: str, items: DataFrame, block: int = 200) -> DataFrame:
+    """rows with each `item` that their text contains, for items (item) of any number.
+
+    An item of three words or more (what stands between single spaces) meets the texts by an anchor, the longest word
+    that isn't at its ends: a text that contains the item has that very word. Digests of texts are joined with anchors by
+    word, then texts with the pairs found, and only those are searched. Items of one or two words go to the rows in
+    blocks of fixed size, one scan each; there nothing is joined.
+    """
+    items = items.where("item is not null").select("item").distinct()
+    words = F.split("item", " ", -1)
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    placed = items.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("word"))))["word"])
+    keyed = rows.withColumn("__text", F.sha2(F.col(text), 256))
+    found = keyed.select("__text", F.explode(F.array_distinct(F.split(F.col(text), " ", -1))).alias("anchor"))
+    pairs = found.join(placed.where("anchor is not null"), "anchor").select(F.col("__text").alias("__of"), "item").distinct()
+    met = keyed.join(pairs, F.col("__text") == F.col("__of")).where(F.contains(F.col(text), F.col("item"))).select(*rows.columns, "item")
+    short = _listed_pairs(rows, text, placed.where("anchor is null").select("item"), block)
+    return met if short is None else met.unionByName(short)
 
 
 def contained(rows: DataFrame, text: str, items: DataFrame) -> DataFrame:
