@@ -167,6 +167,7 @@ def test_suffix_dedup_matches_brute_force(spark, chunk, monkeypatch):
         rows.append((i, "".join(rng.choice("xyz") for _ in range(rng.randrange(90))) + long[a : a + n] + "".join(rng.choice("xyz") for _ in range(rng.randrange(30)))))
     rows.append((299, long))
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "SHARDS", 5)
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_removed(rows)
     assert len(got) == len(rows)
@@ -184,6 +185,7 @@ def test_suffix_dedup_of_periodic_texts(spark, chunk, monkeypatch):
         k = rng.randrange(1, 3 + 130 // len(unit))
         rows.append((i, "".join(unit + (rng.choice(middles) if rng.random() < 0.2 else "") for _ in range(k))))
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "SHARDS", 5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert got == brute_removed(rows) and got[2][1] == 132
 

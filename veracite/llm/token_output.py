@@ -3,10 +3,10 @@
 Documents are dealt out in ranges of doc_id and sorted; each task writes its range as shards: a .bin file of raw
 little-endian ids (16 bits each where the vocabulary fits, else 32) and a .idx file. The index holds the rows in order
 (doc_id, offset) and a minimal perfect hash from doc_ids to rows with a stored 32-bit fingerprint. A keyed read finds its
-shard by binary search in the manifest, then reads the index's head, one bucket, one slot, one row and one range of the
+shard by the ranges in the manifest, then reads the index's head, one bucket, one slot, one row and one range of the
 payload, whatever the shard's size; a key that isn't there is refused by the fingerprint, and with certainty once the
 row's doc_id is compared. Reading all documents goes through the same hash, many keys at a time. Files get their names by
-renaming; manifest rows, one per shard, are written last.
+renaming; the manifest, a table with one row per shard, is committed last, and stays on the executors.
 
 Null text counts as empty. Order: doc_id ascending, null first; rows that repeat a doc_id follow in input order, and a
 keyed read gives all of them. Null doc_ids are in the payload but have no key. An empty table gives no shards.
@@ -14,8 +14,6 @@ keyed read gives all of them. Null doc_ids are in the payload but have no key. A
 
 from __future__ import annotations
 
-import bisect
-import json
 import struct
 import zlib
 
@@ -24,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import Workspace, file_system, read_file, texts, write_file
 from .tokenization import END, encoder
@@ -187,8 +186,8 @@ class KeyedReader:
         return out
 
 
-def write_shards(docs: DataFrame, tokenizer: str, uri: str, ws: Workspace, roll: int = 32 << 20) -> list[dict]:
-    """Writes the shards of docs (doc_id, text) below uri and gives their manifest, in order. roll: bytes of payload that end a shard."""
+def write_shards(docs: DataFrame, tokenizer: str, uri: str, roll: int = 32 << 20) -> None:
+    """Writes the shards of docs (doc_id, text) below uri, then their manifest. roll: bytes of payload that end a shard."""
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -203,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, ws: Workspace, roll:
             write_file(f"{uri}/{name}.bin", data)
             write_file(f"{uri}/{name}.idx", _index(ids, counts, width))
             known = [x for x in ids if x is not None]
-            row = {"name": name, "rows": len(ids), "tokens": sum(counts), "bytes": len(data), "crc32": zlib.crc32(data), "least": known[0] if known else None, "most": known[-1] if known else None}
+            row = {"name": name, "part": part, "rows": len(ids), "tokens": sum(counts), "bytes": len(data), "crc32": zlib.crc32(data), "least": known[0] if known else None, "most": known[-1] if known else None}
             made, ids, counts, payload, held = made + 1, [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 
@@ -220,38 +219,34 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, ws: Workspace, roll:
             yield flush()
 
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("nth")).repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth")
-    done = ws.table(rows.select("doc_id", "text").mapInArrow(run, "name string, rows long, tokens long, bytes long, crc32 long, least long, most long"), "manifest")
-    return [r.asDict() for r in done.orderBy("name").collect()]  # one row per shard
+    rows.select("doc_id", "text").mapInArrow(run, _MANIFEST_KIND).write.mode("overwrite").parquet(f"{uri}/manifest")
 
 
-_MANIFEST = pa.schema([("name", pa.string()), ("rows", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+_MANIFEST_KIND = "name string, part int, rows long, tokens long, bytes long, crc32 long, least long, most long"
+_MANIFEST = pa.schema([("name", pa.string()), ("part", pa.int32()), ("rows", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
 
 
 class TokenStore:
     """Written shards."""
 
-    def __init__(self, spark, uri: str, manifest: list[dict]):
-        self.spark, self.uri, self.manifest = spark, uri, manifest
+    def __init__(self, spark, uri: str):
+        self.spark, self.uri = spark, uri
 
     @classmethod
     def write(cls, docs: DataFrame, tokenizer: str, uri: str | None = None, roll: int = 32 << 20) -> "TokenStore":
-        ws = Workspace(docs.sparkSession, "token-output")
-        uri = uri or f"{ws.uri}/shards"
-        manifest = write_shards(docs, tokenizer, uri, ws, roll)
-        write_file(f"{uri}/manifest.json", json.dumps(manifest).encode())
-        return cls(docs.sparkSession, uri, manifest)
+        uri = uri or f"{Workspace(docs.sparkSession, 'token-output').uri}/shards"
+        write_shards(docs, tokenizer, uri, roll)
+        return cls(docs.sparkSession, uri)
 
-    @classmethod
-    def open(cls, spark, uri: str) -> "TokenStore":
-        return cls(spark, uri, json.loads(read_file(f"{uri}/manifest.json")))
+    @property
+    def manifest(self) -> DataFrame:
+        """One row per shard; names ascend with doc_id."""
+        return self.spark.read.schema(_MANIFEST_KIND).parquet(f"{self.uri}/manifest")
 
     def get(self, doc_id: int) -> list[np.ndarray]:
         """The ids of the rows of a doc_id: no row, one, or more where it is repeated."""
-        known = [m for m in self.manifest if m["least"] is not None]
         out = []
-        for m in known[bisect.bisect_left(known, doc_id, key=lambda m: m["most"]) :]:
-            if m["least"] > doc_id:
-                break
+        for m in self.manifest.where((F.col("least") <= doc_id) & (F.col("most") >= doc_id)).orderBy("name").collect():
             files, path = file_system(f"{self.uri}/{m['name']}")
             with files.open_input_file(f"{path}.idx") as index, files.open_input_file(f"{path}.bin") as payload:
                 reader = KeyedReader(index)
@@ -261,10 +256,12 @@ class TokenStore:
 
     def read(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32, shard), one row per document, from the files."""
-        uri, starts, at = self.uri, [], 0
-        for m in self.manifest:
-            starts.append((m["name"], at, m["crc32"]))
-            at += m["tokens"]
+        uri = self.uri
+        # Ids before a shard: those of the tasks before its own (a window over one row for each), then those of its task.
+        m = self.manifest
+        upto = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        tasks = m.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", upto(Window.orderBy("part")).alias("before"))
+        own = m.select("part", "name", "crc32", upto(Window.partitionBy("part").orderBy("name")).alias("within"))
 
         def run(batches):
             for b in batches:
@@ -280,5 +277,5 @@ class TokenStore:
                         cols = [pa.array(index.ids[rows], mask=~index.known[rows]), pa.array(base + starts), pa.array(ends - starts), pa.array(crcs, pa.int64()), pa.array([name] * len(rows))]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-        table = self.spark.createDataFrame(starts, "name string, base long, crc long").repartition(max(1, len(starts)), "name")
+        table = own.join(tasks, "part").select("name", (F.col("before") + F.col("within")).alias("base"), "crc32").repartition(max(1, m.count()), "name")
         return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
