@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, name):
     equal(spark, name, D)
 
 
-@pytest.mark.parametrize("name", ["advice_filter", "near_dup_pairs", "shared_bodies", "ligature_repair", "part_units", "labelled_blocks", "index_fingerprint"])
+@pytest.mark.parametrize("name", ["advice_filter", "near_dup_pairs", "shared_bodies", "ligature_repair", "part_units", "labelled_blocks", "index_fingerprint", "header_check", "pair_pool_probe", "benchmark_overlap"])
 def test_query_equals_sql_on_more_rows(spark, name):
     assert equal(spark, name, LARGER)
 

@@ -54,3 +54,19 @@ def likeness(pairs: DataFrame, a: Column, b: Column, above: float = 0.99) -> Dat
     """(mean, least, most, n_above, n) of the inner products of two vector columns."""
     s = pairs.select(dot(a, b).alias("s"))
     return s.agg(F.avg("s").alias("mean"), F.min("s").alias("least"), F.max("s").alias("most"), F.count_if(F.col("s") > above).alias("n_above"), F.count("*").alias("n"))
+
+
+def header_check(left: DataFrame, right: DataFrame, above: float = 0.99) -> DataFrame:
+    """How far headers set equal bodies apart: likeness of their vectors (variant, mean, least, most, n_above, n), with and
+    without the header, over the pairs of two parts of an index (ord, body, embedding, body_embedding)."""
+    pairs = same_body_pairs(left, right, ["embedding", "body_embedding"])
+    variants = [("with header", "embedding"), ("no header", "body_embedding")]
+    with_, without = (likeness(pairs, F.col(f"a_{c}"), F.col(f"b_{c}"), above).withColumn("variant", F.lit(v)) for v, c in variants)
+    return with_.unionByName(without).select("variant", "mean", "least", "most", "n_above", "n")
+
+
+def pair_pool(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows (ord, columns) of both parts that are in pairs of equal bodies, each once: what a probe of both searches."""
+    pairs = same_body_pairs(left, right, ["ord", *columns])
+    sides = [pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in ("ord", *columns)]) for s in "ab"]
+    return sides[0].unionByName(sides[1]).dropDuplicates(["ord"])

@@ -108,6 +108,9 @@ g{name} AS (SELECT CASE WHEN grouping(type) = 1 THEN 'overall' ELSE 'by_type.' |
 m{name} AS (SELECT scope, unnest(['n', 'correct', 'hit@k', 'recall@k', 'mrr', 'abstain_rate']) AS metric, unnest([CAST(n AS DOUBLE), correct, hit, recall, mrr, ab]) AS value FROM g{name})"""
 
 
+_PAIRS = f"""WITH {DOCS}, e AS (SELECT d.doc_id, d.t, d.source, CAST(regexp_extract(d.source, '[0-9]+') AS INTEGER) % 2 AS odd, CAST(v.embedding AS DOUBLE[]) AS v FROM docs d JOIN embeddings v ON d.doc_id = v.vec_id),
+r AS (SELECT t, max(doc_id) AS doc_id FROM e WHERE odd = 1 GROUP BY t), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.v AS av, b.v AS bv FROM e a JOIN r USING (t) JOIN e b ON b.doc_id = r.doc_id WHERE a.odd = 0)"""
+
 _FOUND3 = f"""WITH {INDEX}, {_ranked()},
 f AS (SELECT query_id, max(score) AS top, bool_or(status <> 'in_force') AS gone, string_agg('c' || vec_id, ', ' ORDER BY rank) AS cited, count(DISTINCT j) AS nj, string_agg(DISTINCT j, ', ' ORDER BY j) AS js,
   max(CASE WHEN rank = 1 THEN vec_id END) AS lead FROM ranked WHERE rank <= 3 GROUP BY query_id),
@@ -129,6 +132,11 @@ ORACLE = {
     "dedup_stats": f"WITH {DOCS}, g AS (SELECT count(*) AS n, count(DISTINCT source) AS s FROM docs GROUP BY t) SELECT CAST(sum(n) AS BIGINT) AS n_docs, count(*) AS n_texts, count(*) FILTER (n > 1) AS n_groups, max(n) AS largest, count(*) FILTER (s > 1) AS n_across FROM g",
     "near_dup_pairs": f"WITH {DOCS} SELECT d.doc_id AS left_doc, max(e.doc_id) AS right_doc, sha256(any_value(d.t)) AS body_key FROM docs d JOIN docs e ON d.t = e.t AND d.source <> e.source GROUP BY d.doc_id",
     "shared_bodies": f"WITH {DOCS}, p AS (SELECT t, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 AS odd FROM docs) SELECT sha256(t) AS body_key FROM (SELECT t FROM p WHERE odd = 0 INTERSECT SELECT t FROM p WHERE odd = 1)",
+    "header_check": f"""{_PAIRS}, s AS (SELECT 'with header' AS variant, list_dot_product(av, bv) AS s FROM p UNION ALL SELECT 'no header', list_dot_product(av[1:16], bv[1:16]) FROM p)
+SELECT variant, round(avg(s), 4) AS mean, round(min(s), 4) AS least, round(max(s), 4) AS most, count(*) FILTER (s > 0.5) AS n_above, count(*) AS n FROM s GROUP BY variant""",
+    "pair_pool_probe": f"""{_PAIRS}, pool AS (SELECT a AS ord FROM p UNION SELECT b FROM p), q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.query_id, e.doc_id AS ord, e.source, list_dot_product(q.v, e.v) AS score FROM q, pool JOIN e ON e.doc_id = pool.ord)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS INTEGER) AS rank, ord, round(score, 4) AS score, source FROM s QUALIFY rank <= 3""",
     "equal_bodies": f"WITH {DOCS} SELECT sha256(t) AS body_key, source, max(doc_id) AS last_doc, count(*) AS n_docs FROM docs GROUP BY t, source QUALIFY count(*) OVER (PARTITION BY t) > 1",
     "likeness_by_label": f"WITH {INDEX}, {_ranked()} SELECT round(avg(score), 4) AS mean, round(min(score), 4) AS least, round(max(score), 4) AS most, count(*) FILTER (score > 0.5) AS n_above, count(*) AS n FROM ranked WHERE rank = 1",
     "token_estimate": f"WITH {DOCS} SELECT doc_id, {_tokens('t')} AS n_tokens FROM docs",

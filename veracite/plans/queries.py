@@ -135,6 +135,29 @@ def shared_bodies(spark, sf_dir):
     return stats.shared_values(d.where("even"), d.where("not coalesce(even, false)"), "body_key")
 
 
+def _halves(spark, sf_dir):
+    """Documents with vectors as an index, in two parts: sources of even and of odd numbers."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.slice("embedding", 1, 16).alias("body_embedding"))
+    d = docs(spark, sf_dir).join(e, "doc_id").withColumn("even", F.regexp_extract("source", "[0-9]+", 0).cast("int") % 2 == 0)
+    d = d.select(F.col("doc_id").alias("ord"), F.col("text").alias("body"), "embedding", "body_embedding", F.array("source").alias("source_ids"), "even")
+    return d.where("even"), d.where("not coalesce(even, false)")
+
+
+@query
+def header_check(spark, sf_dir):
+    c = stats.header_check(*_halves(spark, sf_dir), 0.5)
+    return c.select("variant", *[F.round(x, 4).alias(x) for x in ("mean", "least", "most")], "n_above", "n")
+
+
+@query
+def pair_pool_probe(spark, sf_dir):
+    """The sources of the three best of a pool of two parts' equal bodies, for each question."""
+    pool = stats.pair_pool(*_halves(spark, sf_dir), ["embedding", "source_ids"])
+    found = retrieve.nearest(pool, vector_queries(vector_index(spark, sf_dir)), 3, ["query_id"])
+    found = retrieve.with_rows(found, pool, ["source_ids"])
+    return found.select("query_id", "rank", "ord", F.round("score", 4).alias("score"), F.col("source_ids")[0].alias("source"))
+
+
 @query
 def equal_bodies(spark, sf_dir):
     """The texts that any two sources share, with the last document and the number of them in each."""
