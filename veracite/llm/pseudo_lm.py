@@ -25,6 +25,7 @@ scored each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .runtime import Workspace, texts
 
 #: Width of the network; words in a step; what divides the root of all words to the least count of a word with its own id;
-#: words of a shard; copies averaged at once; words whose ids a task keeps.
-WIDTH, STEP, RARE, SHARD, FAN, KEPT = 16, 4096, 16, 4_000_000, 4, 400_000
+#: words of a shard; copies averaged at once.
+WIDTH, STEP, RARE, SHARD, FAN = 16, 8192, 4, 4_000_000, 4
 SIDES = (-2, -1, 1, 2)
 Model = dict[str, np.ndarray]
 
@@ -84,11 +85,12 @@ def unpack(data: bytes, ids: int) -> Model:
     return out
 
 
-def _hidden(model: Model, e: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the places at of a line, from the embeddings of its ids."""
-    h = model["b"] + e[at + SIDES[0]] * model["d"][0]
+def _hidden(model: Model, e: np.ndarray) -> np.ndarray:
+    """Of each place of a line but two at both ends, from the embeddings of its ids."""
+    n = len(e) - 4
+    h = model["b"] + e[:n] * model["d"][0]
     for i, s in enumerate(SIDES[1:], 1):
-        h += e[at + s] * model["d"][i]
+        h += e[2 + s : 2 + s + n] * model["d"][i]
     return np.tanh(h, out=h)
 
 
@@ -102,16 +104,19 @@ def log_probabilities(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndar
     """Of the ids at these places of a line, given the ids around them."""
     classes, size = model["wb"].shape
     ids = line[at]
-    h = _hidden(model, model["e"][line], at)
+    h = _hidden(model, model["e"][line])
+    h = h if len(h) == len(at) else h[at - 2]
     group, place = ids // size, ids % size
-    z = h @ model["c"] + model["cb"]
-    out = z[np.arange(len(ids)), group] - np.log(np.exp(z).sum(1))
+    z = h @ model["c"]
+    z += model["cb"]
+    out = z[np.arange(len(ids)), group] - np.log(np.exp(z, out=z).sum(1))
     order, ends = _by_class(group, classes)
     h, place = h[order], place[order]
     for g in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
         a, b = ends[g], ends[g + 1]
-        z = h[a:b] @ model["w"][g] + model["wb"][g]
-        out[order[a:b]] += z[np.arange(b - a), place[a:b]] - np.log(np.exp(z).sum(1))
+        z = h[a:b] @ model["w"][g]
+        z += model["wb"][g]
+        out[order[a:b]] += z[np.arange(b - a), place[a:b]] - np.log(np.exp(z, out=z).sum(1))
     return out
 
 
@@ -127,9 +132,12 @@ def step(model: Model, past: Model, line: np.ndarray, at: np.ndarray, rate: floa
     ids, size = model["wb"].size, model["wb"].shape[1]
     y = line[at]
     e = model["e"][line]
-    h = _hidden(model, e, at)
+    h = _hidden(model, e)
+    h = h if len(h) == len(at) else h[at - 2]
     group, place = y // size, y % size
-    p = np.exp(h @ model["c"] + model["cb"])
+    p = h @ model["c"]
+    p += model["cb"]
+    np.exp(p, out=p)
     p /= p.sum(1, keepdims=True)
     p[np.arange(len(y)), group] -= 1
     dh = p @ model["c"].T
@@ -140,7 +148,9 @@ def step(model: Model, past: Model, line: np.ndarray, at: np.ndarray, rate: floa
     hs, place, ds = h[order], place[order], np.empty_like(h)
     for g in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
         a, b = ends[g], ends[g + 1]
-        p = np.exp(hs[a:b] @ model["w"][g] + model["wb"][g])
+        p = hs[a:b] @ model["w"][g]
+        p += model["wb"][g]
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(b - a), place[a:b]] -= 1
         ds[a:b] = p @ model["w"][g].T
@@ -150,14 +160,17 @@ def step(model: Model, past: Model, line: np.ndarray, at: np.ndarray, rate: floa
     dh *= 1 - h * h
     _descend(model, past, ("b", all_), dh.sum(0), rate)
     # What each place of the line does to the places around it, gathered by id.
-    full, ge = np.zeros((len(line), WIDTH), np.float32), np.zeros((len(line), WIDTH), np.float32)
-    full[at] = dh
-    gd = np.stack([(e[at + s] * dh).sum(0) for s in SIDES])
+    n = len(line) - 4
+    if n == len(at):
+        full = dh
+    else:
+        full = np.zeros((n, WIDTH), dh.dtype)
+        full[at - 2] = dh
+    ge, gd = np.zeros((len(line), WIDTH), dh.dtype), []
     for i, s in enumerate(SIDES):
-        if s < 0:
-            ge[:s] += full[-s:] * model["d"][i]
-        else:
-            ge[s:] += full[:-s] * model["d"][i]
+        gd.append(np.einsum("ij,ij->j", e[2 + s : 2 + s + n], full))
+        ge[2 + s : 2 + s + n] += full * model["d"][i]
+    gd = np.stack(gd)
     _descend(model, past, ("d", all_), gd, rate)
     order = np.argsort(line.astype(np.uint16 if ids < 65_535 else np.int64), kind="stable")
     ranked = line[order]
@@ -174,36 +187,22 @@ class Words:
         self.chain = chain
         #: All ids, with unused ones that fill the last class; also the padding's.
         self.size = whole(256 + len(self.ids))
-        self.young: dict[bytes, tuple[int, float]] = {}
-
-    def _learn(self, word: bytes) -> tuple[int, float]:
-        own = self.ids.get(word)
-        if own is not None:
-            found = own, 0.0
-        else:
-            b = np.frombuffer(word, np.uint8).astype(np.int64)
-            found = word[0], float(self.chain[b, np.append(b[1:], 256)].sum())
-        if len(word) <= 64:
-            if len(self.young) >= KEPT:
-                self.young = {}
-            self.young[word] = found
-        return found
+        # The chain over words with a space after each: no word holds one, so it stands for the end.
+        self.spaced = chain[:, :256].astype(np.float32)
+        self.spaced[:, 32] = chain[:, 256]
+        self.spaced[32] = 0
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, float]:
         """A text's ids, and the log probability of its rare words' spellings."""
-        ids, spelled = [], 0.0
-        get = self.young.get
-        for w in text.lower().split():
-            x = get(w)
-            if x is None:
-                x = self._learn(w)
-                get = self.young.get
-            ids.append(x[0])
-            spelled += x[1]
-        return np.array(ids, np.int64), spelled
-
-    def __getstate__(self):
-        return self.__dict__ | {"young": {}}
+        words = text.lower().split()
+        ids = np.fromiter(map(self.ids.get, words, itertools.repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(ids < 0)
+        if not len(rare):
+            return ids, 0.0
+        data = np.frombuffer(b" ".join([words[i] for i in rare.tolist()]) + b" ", np.uint8)
+        ends = np.flatnonzero(data == 32)
+        ids[rare] = data[np.concatenate([[0], ends[:-1] + 1])]
+        return ids, float(self.spaced[data[:-1], data[1:]].sum(dtype=np.float64))
 
 
 def lines(words: Words, documents, most: int):
