@@ -38,7 +38,7 @@ from .runtime import Workspace, texts
 
 #: Width of the network; words in a step; what divides the root of all words to the least count of a word with its own id;
 #: words of a shard; copies averaged at once.
-WIDTH, STEP, RARE, SHARD, FAN = 16, 8192, 4, 4_000_000, 4
+WIDTH, STEP, RARE, SHARD, FAN = 16, 16384, 16, 4_000_000, 4
 SIDES = (-2, -1, 1, 2)
 Model = dict[str, np.ndarray]
 
