@@ -8,7 +8,8 @@ every 128 words) is trained in numpy on the non-negative risk
     p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)]),   l(z) = log(1 + exp(-z)),
 
 whose second part stands for the risk on true negatives and is kept from going below zero: where it does, the step goes
-up that part instead. With the logistic loss, sigmoid(f) estimates P(toxic | text).
+up that part instead. With the logistic loss, sigmoid(f) estimates P(toxic | text); the bias is set at last so that the
+mean of it over the unlabelled sample is p.
 
 Fitting takes samples bounded by `positives` and `unlabelled` documents, chosen by a hash of doc_id; the prior counts
 all labels that may be learnt from, and scoring reads every whole text. Labels of rows whose crc32(doc_id as text)
@@ -135,7 +136,20 @@ def descend(positive: list[list[int]], unlabelled: list[list[int]], chosen: list
         g[:k] += 1e-4 * w[:k]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model({x: float(w[i]) for i, x in enumerate(chosen)}, float(w[k]))
+    return Model({x: float(w[i]) for i, x in enumerate(chosen)}, anchored(np.bincount(ru, w[cu], n_u), prior))
+
+
+def anchored(z: np.ndarray, prior: float) -> float:
+    """The bias at which the mean score of the unlabelled sample is the class prior, as where the risk is least; small
+    samples, in which the non-negative part is held, leave it elsewhere."""
+    low, high = -60.0, 60.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(z + middle, -60, 60)))).mean() < prior:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> Model:
