@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -109,6 +110,69 @@ def test_step_follows_the_gradient():
             assert abs((model[k][place] - after[k][place]) / 1e-6 - g / math.sqrt(g * g + 1)) < 2e-2, k
 
 
+def plain_step(model, past, line, at, rate=0.1):
+    """A step by whole matrices of probabilities, place by place of the formulas."""
+    classes, size = model["wb"].shape
+    y, e = line[at], model["e"][line]
+    h = np.tanh(model["b"] + sum(e[at + s] * model["d"][i] for i, s in enumerate(pseudo_lm.SIDES)))
+    group, place, g = y // size, y % size, {k: np.zeros_like(x) for k, x in model.items()}
+
+    def softmax(h, c, b, own):
+        p = np.exp(h @ c + b)
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(h)), own] -= 1
+        return h.T @ p, p.sum(0), p @ c.T
+
+    g["c"], g["cb"], dh = softmax(h, model["c"], model["cb"], group)
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(classes + 1))
+    for k in np.flatnonzero(ends[1:] > ends[:-1]):
+        o = order[ends[k] : ends[k + 1]]
+        g["w"][k], g["wb"][k], more = softmax(h[o], model["w"][k], model["wb"][k], place[o])
+        dh[o] += more
+    dh *= 1 - h * h
+    g["b"] = dh.sum(0)
+    around = np.zeros_like(e)
+    for i, s in enumerate(pseudo_lm.SIDES):
+        g["d"][i] = (e[at + s] * dh).sum(0)
+        around[at + s] += dh * model["d"][i]
+    order = np.argsort(line, kind="stable")
+    first = np.flatnonzero(np.diff(line[order], prepend=-1))
+    g["e"][line[order][first]] = np.add.reduceat(around[order], first, 0)
+    for k in model:
+        past[k] += g[k] * g[k]
+        model[k] -= rate * g[k] / np.sqrt(past[k] + 1)
+
+
+def test_steps_equal_plain_ones_and_hold_few_probabilities(monkeypatch):
+    """In blocks that don't divide the places, with padding and classes that don't occur; memory stays below a whole matrix
+    of probabilities."""
+    rng = np.random.RandomState(2)
+    size = pseudo_lm.whole(150)
+    line = rng.randint(0, size // 2, 400)
+    line[rng.randint(0, 400, 60)] = size
+    line[[0, 1, -2, -1]] = size, 3, 5, size
+    at = 2 + np.flatnonzero(line[2:-2] != size)
+    monkeypatch.setattr(pseudo_lm, "BLOCK", 7)
+    one, two = (pseudo_lm.start(np.arange(size)) for _ in range(2))
+    one_past, two_past = ({k: np.zeros_like(x) for k, x in m.items()} for m in (one, two))
+    for _ in range(5):
+        pseudo_lm.step(one, one_past, line, at)
+        plain_step(two, two_past, line, at)
+        assert all(np.allclose(one[k], two[k], atol=1e-4) for k in one)
+    got = pseudo_lm.log_probabilities(one, line, at)
+    assert np.allclose(got, [brute_log_probability(one, line, i) for i in at], atol=1e-4)
+
+    monkeypatch.undo()
+    size = pseudo_lm.whole(300 * 300)
+    model, line = pseudo_lm.start(np.ones(size)), rng.randint(0, size, 65_540)
+    tracemalloc.start()
+    pseudo_lm.log_probabilities(model, line, np.arange(2, len(line) - 2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 65_536 * 300 * 4, most
+
+
 def test_model_beats_counts_and_knows_word_order(spark):
     """At any number of partitions the same model; 0.4 nats a word above the counts of ids, and order counts."""
     d = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("doc_id % 3 = 0")

@@ -25,6 +25,7 @@ scored each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import math
 from collections import Counter
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .runtime import Workspace, texts
 
 #: Width of the network; words in a step; what divides the root of all words to the least count of a word with its own id;
-#: words of a shard; copies averaged at once.
-WIDTH, STEP, RARE, SHARD, FAN = 16, 16384, 16, 4_000_000, 4
+#: words of a shard; copies averaged at once; places whose probabilities are held at once, which fit a core's cache.
+WIDTH, STEP, RARE, SHARD, FAN, BLOCK = 16, 16384, 16, 4_000_000, 4, 512
 SIDES = (-2, -1, 1, 2)
 Model = dict[str, np.ndarray]
 
@@ -94,88 +95,139 @@ def _hidden(model: Model, e: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by class, and where each class begins in it."""
-    order = np.argsort(group.astype(np.uint16 if classes < 1 << 16 else np.int64), kind="stable")
-    return order, np.searchsorted(group[order], np.arange(classes + 1))
+def _outputs(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of classes, and of the ids of each class, for powers of 2, which are quicker than those of e. The biases are one more
+    row, for states that end with a 1."""
+    c, w = np.concatenate([model["c"], model["cb"][None]]), np.concatenate([model["w"], model["wb"][:, None]], 1)
+    c *= math.log2(math.e)
+    w *= math.log2(math.e)
+    return c, w
+
+
+def _by_id(h: np.ndarray, y: np.ndarray, at: np.ndarray, classes: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of places by the ids there; in it the ids and the states, which end with a 1; and (class, start, end) of
+    the classes that occur."""
+    order = np.argsort(y.astype(np.uint16 if classes * size < 1 << 16 else np.int64), kind="stable")
+    y, states = y.take(order), np.ones((len(y), WIDTH + 1), h.dtype)
+    states[:, :WIDTH] = h.take((at - 2).take(order), 0)
+    ends = np.searchsorted(y, np.arange(classes + 1) * size).tolist()
+    return order, y, states, [(g, ends[g], ends[g + 1]) for g in range(classes) if ends[g] < ends[g + 1]]
+
+
+def _powers(states: np.ndarray, outputs: np.ndarray, room: np.ndarray):
+    """(start, end, powers of 2 of the outputs) for some of these states at a time, which fit a core's cache."""
+    n, width = len(states), outputs.shape[1]
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        z = np.matmul(states[a:b], outputs, out=room[: (b - a) * width].reshape(b - a, width))
+        yield a, b, np.exp2(z, out=z)
 
 
 def log_probabilities(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the ids at these places of a line, given the ids around them."""
     classes, size = model["wb"].shape
-    ids = line[at]
-    h = _hidden(model, model["e"][line])
-    h = h if len(h) == len(at) else h[at - 2]
-    group, place = ids // size, ids % size
-    z = h @ model["c"]
-    z += model["cb"]
-    out = z[np.arange(len(ids)), group] - np.log(np.exp(z, out=z).sum(1))
-    order, ends = _by_class(group, classes)
-    h, place = h[order], place[order]
-    for g in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-        a, b = ends[g], ends[g + 1]
-        z = h[a:b] @ model["w"][g]
-        z += model["wb"][g]
-        out[order[a:b]] += z[np.arange(b - a), place[a:b]] - np.log(np.exp(z, out=z).sum(1))
+    h = _hidden(model, model["e"].take(line, 0))
+    order, y, states, present = _by_id(h, line.take(at), at, classes, size)
+    c, w = _outputs(model)
+    own = (w.transpose(0, 2, 1) + c.T[:, None]).reshape(classes * size, WIDTH + 1)
+    ranked = np.einsum("ij,ij->i", states, own.take(y, 0))
+    sums, most = np.empty((2, len(y)), h.dtype), max(classes, size)
+    ones, room = np.ones(most, h.dtype), np.empty(BLOCK * most, h.dtype)
+    for a, b, p in _powers(states, c, room):
+        np.matmul(p, ones[:classes], out=sums[0, a:b])
+    for g, begin, end in present:
+        for a, b, p in _powers(states[begin:end], w[g], room):
+            np.matmul(p, ones[:size], out=sums[1, begin + a : begin + b])
+    ranked -= np.log2(sums).sum(0)
+    out = np.empty_like(ranked)
+    out[order] = ranked * math.log(2)
     return out
 
 
-def _descend(model: Model, past: Model, key, gradient: np.ndarray, rate: float) -> None:
+def _descend(model: Model, past: Model, name: str, gradient: np.ndarray, rate: float, part=slice(None)) -> None:
     """A step of some parameters by rates that fall with the squares of their gradients so far."""
-    name, part = key
-    past[name][part] += gradient * gradient
-    model[name][part] -= rate * gradient / np.sqrt(past[name][part] + 1)
+    x = gradient * gradient
+    if isinstance(part, slice):
+        past[name] += x
+        np.add(past[name], 1, out=x)
+    else:
+        x += past[name].take(part, 0)
+        past[name][part] = x
+        x += 1
+    np.sqrt(x, out=x)
+    np.divide(gradient, x, out=x)
+    x *= rate
+    model[name][part] -= x
+
+
+def _pull(states: np.ndarray, outputs: np.ndarray, back: np.ndarray, pull: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The gradient for the outputs of the logarithms of the sums over these states' outputs; adds that for the states to
+    `pull`. back: the outputs without biases, and ones, whose product is the sum."""
+    total = 0
+    for a, b, p in _powers(states, outputs, room):
+        r = p @ back
+        inverse = 1 / r[:, WIDTH:]
+        r *= inverse
+        pull[a:b] += r
+        total += (states[a:b] * inverse).T @ p
+    return total
 
 
 def step(model: Model, past: Model, line: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
     """One step down the negative log probability of the ids at these places of a line; past: squares of gradients so far."""
-    ids, size = model["wb"].size, model["wb"].shape[1]
-    y = line[at]
-    e = model["e"][line]
+    classes, size = model["wb"].shape
+    ids, n = classes * size, len(line) - 4
+    e = model["e"].take(line, 0)
     h = _hidden(model, e)
-    h = h if len(h) == len(at) else h[at - 2]
-    group, place = y // size, y % size
-    p = h @ model["c"]
-    p += model["cb"]
-    np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(y)), group] -= 1
-    dh = p @ model["c"].T
-    all_ = slice(None)
-    _descend(model, past, ("c", all_), h.T @ p, rate)
-    _descend(model, past, ("cb", all_), p.sum(0), rate)
-    order, ends = _by_class(group, len(model["wb"]))
-    hs, place, ds = h[order], place[order], np.empty_like(h)
-    for g in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-        a, b = ends[g], ends[g + 1]
-        p = hs[a:b] @ model["w"][g]
-        p += model["wb"][g]
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(b - a), place[a:b]] -= 1
-        ds[a:b] = p @ model["w"][g].T
-        _descend(model, past, ("w", g), hs[a:b].T @ p, rate)
-        _descend(model, past, ("wb", g), p.sum(0), rate)
-    dh[order] += ds
-    dh *= 1 - h * h
-    _descend(model, past, ("b", all_), dh.sum(0), rate)
+    order, y, states, present = _by_id(h, line.take(at), at, classes, size)
+    c, w = _outputs(model)
+    # The gradients of the sums, less what belongs to the ids that are there, which needs no products.
+    back = np.ones((classes, size, WIDTH + 1), h.dtype)
+    back[:, :, :WIDTH] = model["w"].transpose(0, 2, 1)
+    back_c = np.ones((classes, WIDTH + 1), h.dtype)
+    back_c[:, :WIDTH] = model["c"].T
+    pull = np.zeros((len(y) + 1, WIDTH + 1), h.dtype)
+    np.negative((back + back_c[:, None]).reshape(ids, WIDTH + 1).take(y, 0), out=pull[:-1])
+    room = np.empty(BLOCK * max(classes, size), h.dtype)
+    gc, gw = _pull(states, c, back_c, pull, room), np.zeros_like(w)
+    for g, a, b in present:
+        gw[g] = _pull(states[a:b], w[g], back[g], pull[a:b], room)
+    first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+    ranked = y[first]
+    own = np.add.reduceat(states, first, 0)
+    gw[ranked // size, :, ranked % size] -= own
+    gc[:, [g for g, _, _ in present]] -= np.add.reduceat(own, np.searchsorted(first, [a for _, a, _ in present]), 0).T
+    _descend(model, past, "c", gc[:WIDTH], rate)
+    _descend(model, past, "cb", gc[WIDTH], rate)
+    _descend(model, past, "w", gw[:, :WIDTH], rate)
+    _descend(model, past, "wb", gw[:, WIDTH], rate)
+    # Back to the line's order; places that aren't predicted take the row of zeros at the end.
+    back_at = np.full(n, -1)
+    back_at[(at - 2).take(order)] = np.arange(len(y))
+    pull[-1] = 0
+    dh = np.ascontiguousarray(pull[:, :WIDTH]).take(back_at, 0)
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    _descend(model, past, "b", dh.sum(0), rate)
     # What each place of the line does to the places around it, gathered by id.
-    n = len(line) - 4
-    if n == len(at):
-        full = dh
-    else:
-        full = np.zeros((n, WIDTH), dh.dtype)
-        full[at - 2] = dh
     ge, gd = np.zeros((len(line), WIDTH), dh.dtype), []
     for i, s in enumerate(SIDES):
-        gd.append(np.einsum("ij,ij->j", e[2 + s : 2 + s + n], full))
-        ge[2 + s : 2 + s + n] += full * model["d"][i]
-    gd = np.stack(gd)
-    _descend(model, past, ("d", all_), gd, rate)
+        gd.append(np.einsum("ij,ij->j", e[2 + s : 2 + s + n], dh))
+        ge[2 + s : 2 + s + n] += np.multiply(dh, model["d"][i], out=h)
+    _descend(model, past, "d", np.stack(gd), rate)
     order = np.argsort(line.astype(np.uint16 if ids < 65_535 else np.int64), kind="stable")
-    ranked = line[order]
+    ranked = line.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    _descend(model, past, ("e", ranked[first]), np.add.reduceat(ge[order], first, 0), rate)
+    _descend(model, past, "e", np.add.reduceat(ge.take(order, 0), first, 0), rate, ranked[first])
+
+
+def keep_memory() -> None:
+    """Lets glibc keep up to 64 MB of freed memory for the next step: what goes back to the system is mapped and cleared anew."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
 
 
 class Words:
@@ -291,6 +343,7 @@ def train(docs: DataFrame, ws: Workspace, rounds: int = 1) -> tuple[Words, Model
         def run(batches, packed=pack(model)):
             own = past = shard = None
             seen = 0
+            keep_memory()
 
             def out():
                 return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(own)], pa.binary())], ["part", "n", "model"])
@@ -334,6 +387,7 @@ def score(docs: DataFrame, words: Words, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token)."""
 
     def run(batches):
+        keep_memory()
         for b in batches:
             documents = texts(b)
             total, count = np.zeros(len(documents)), np.zeros(len(documents), np.int64)
