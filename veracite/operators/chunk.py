@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import text as T
-from ..storage import numbered
+from ..storage import numbered, running_sums
 
 
 def _chunk(**columns: Column) -> list[Column]:
@@ -29,24 +29,35 @@ def structural(units: DataFrame) -> DataFrame:
 def fixed_windows(units: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """Windows over the words of each source, `size` and `overlap` in tokens; each cites all units that it touches.
 
-    No source's words are gathered: a running sum places each unit, each unit gives its share of the windows it touches,
-    and a window is put together from those, so a group holds no more than a window. A window has the status and the
+    No source's words are gathered: running sums of the numbers of words place each unit, each unit gives its share of the
+    windows it touches, and a window is put together from those, so a group holds no more than a window. Only units and
+    windows are keys of texts. Units that tie in unit_ord follow each other by text. A window has the status and the
     jurisdiction of its first unit, and `statuses` and `jurisdictions` of all.
     """
     step, width = T.window_sizes(size, overlap)
-    u = units.withColumn("words", T.words(F.col("text"))).withColumn("n", F.size("words")).where("n > 0")
-    w = Window.partitionBy("source_id").orderBy("unit_ord")
-    u = u.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("source_id")))
-    u = u.withColumn("at", F.col("upto") - F.col("n"))
+    # One column as the key: null sources and orders are equal in it.
+    u = units.withColumn("text", T.squash(F.coalesce("text", F.lit("")))).withColumn("key", F.struct("source_id", "unit_ord"))
+    words = F.split("text", " ")
+    n = F.when(F.col("text") == "", 0).otherwise(F.size(words))
+    sizes = u.groupBy("key").agg(F.sum(n).alias("n")).where("n > 0")
+    places = running_sums(sizes.select("key.source_id", "key.unit_ord", "n"), "source_id", "unit_ord", "n")
+    places = places.select(F.struct("source_id", "unit_ord").alias("key"), "before", "total")
+    ties = Window.partitionBy("key").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("n", n).withColumn("tied", F.coalesce(F.sum("n").over(ties), F.lit(0))).join(places, "key")
+    u = u.withColumn("at", F.col("before") + F.col("tied")).withColumn("upto", F.col("at") + F.col("n"))
     last = F.greatest(F.lit(0), F.ceil((F.col("total") - width) / F.lit(step)))
     lo = F.greatest(F.lit(0), F.floor((F.col("at") - width) / F.lit(step)) + 1)
-    hi = F.least(last, F.floor((F.col("upto") - 1) / F.lit(step)))
-    shares = u.where(lo <= hi).select("*", F.explode(F.sequence(lo, hi)).alias("k")).withColumn("start", F.col("k") * step)
-    a = F.greatest(F.lit(0), F.col("start") - F.col("at")).cast("int")
-    b = F.least(F.col("n"), F.col("start") + width - F.col("at")).cast("int")
+    hi = F.when(F.col("n") > 0, F.least(last, F.floor((F.col("upto") - 1) / F.lit(step))))
+
+    def share(k: Column) -> Column:
+        a = F.greatest(F.lit(0), k * step - F.col("at")).cast("int")
+        b = F.least(F.col("n"), k * step + width - F.col("at")).cast("int")
+        return F.struct((k * step).alias("start"), F.array_join(F.slice("words", a + 1, b - a), " ").alias("text"))
+
     cite = T.full_citation(F.col("citation"), F.col("subsection"))
-    shares = shares.select("source_id", "start", "unit_ord", F.array_join(F.slice("words", a + 1, b - a), " ").alias("text"), cite.alias("cite"), "status", "jurisdiction")
-    g = shares.groupBy("source_id", "start").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "text", "cite", "status", "jurisdiction"))).alias("x"))
+    shares = u.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("words", words)
+    shares = shares.select("source_id", "at", cite.alias("cite"), "status", "jurisdiction", F.explode(F.transform(F.sequence("lo", "hi"), share)).alias("share"))
+    g = shares.groupBy("source_id", F.col("share.start").alias("start")).agg(F.array_sort(F.collect_list(F.struct("at", "share.text", "cite", "status", "jurisdiction"))).alias("x"))
     each = lambda name: F.transform("x", lambda p: p[name])
     body = F.array_join(each("text"), " ")
     return g.select(*_chunk(

@@ -45,6 +45,23 @@ def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__p", "__before")
 
 
+def running_sums(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """df (key, order, value), in which no two rows have one key and order, with `before` and `total`: the sum of `value`
+    over the rows of its key before it, and over all of them; without a window over all rows of a key.
+
+    The rows are range-sorted and kept. Each range adds up its own rows, and the sums of the ranges, one for each key in a
+    range, are added up per key: a task has a range of rows, or as many sums as there are ranges.
+    """
+    kept = checkpointed(df.select(key, order, F.col(value).cast("long").alias(value)).repartitionByRange(key, order).withColumn("__p", F.spark_partition_id()))
+    preceding = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.sum(value).over(preceding(Window.partitionBy("__p", key).orderBy(order)))
+    sums = kept.groupBy(F.col("__p").alias("__q"), F.col(key).alias("__key")).agg(F.sum(value).alias("__n"))
+    by_key = Window.partitionBy("__key")
+    sums = sums.withColumn("__ranges", F.coalesce(F.sum("__n").over(preceding(by_key.orderBy("__q"))), F.lit(0))).withColumn("total", F.sum("__n").over(by_key))
+    rows = kept.withColumn("__own", F.coalesce(own, F.lit(0))).join(sums, (F.col("__p") == F.col("__q")) & F.col(key).eqNullSafe(F.col("__key")))
+    return rows.select(key, order, value, (F.col("__ranges") + F.col("__own")).alias("before"), "total")
+
+
 def first_rows(df: DataFrame, key: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key, ranked from 1; Spark limits each partition before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)
