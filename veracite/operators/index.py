@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,24 +27,26 @@ def hashed_words(texts: list[str], dim: int = DIM) -> np.ndarray:
     out = np.zeros((len(texts), dim), np.float32)
     for i, t in enumerate(texts):
         words = (t or "").lower().split()
-        for w in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1 if h >> 31 else -1
+        pairs = (f"{a} {b}" for a, b in zip(words, words[1:]))
+        h = np.fromiter((zlib.crc32(w.encode()) for w in chain(words, pairs)), np.uint32)
+        out[i] = np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms > 0, norms, 1)
 
 
 def with_vectors(df: DataFrame, text: str, column: str = "embedding", encoder: Encoder = hashed_words, batch: int = 8) -> DataFrame:
-    """df with the vectors of a text column, encoded in Arrow batches; a null text counts as empty."""
+    """df with the vectors of a text column; a null text counts as empty. A Python worker holds one bounded Arrow batch of
+    texts, the strings of `batch` of them, and their vectors as arrays, never as lists of Python's floats."""
 
     reachable(df.sparkSession)
 
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in parts:
-            texts = s.fillna("").tolist()
-            yield pd.Series([list(map(float, v)) for i in range(0, len(texts), batch) for v in encoder(texts[i : i + batch])], dtype=object)
+            if len(s):
+                v = np.concatenate([np.asarray(encoder(s.slice(i, batch).fill_null("").to_pylist()), np.float32) for i in range(0, len(s), batch)])
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
 
-    return df.withColumn(column, F.pandas_udf(encode, "array<float>")(F.col(text)))
+    return df.withColumn(column, F.arrow_udf(encode, "array<float>")(F.col(text)))
 
 
 def fingerprints(chunks: DataFrame, model: str = MODEL) -> DataFrame:
