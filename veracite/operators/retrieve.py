@@ -23,6 +23,8 @@ from ..session import reachable
 from ..storage import checkpointed, first_rows
 
 BLOCK = 2048
+#: So many scores are made at once.
+SCORES = 1 << 18
 ABSTAIN_BELOW = 0.62
 SEEDS, RESERVE, BEYOND = 2, 2, 40
 
@@ -55,8 +57,11 @@ def _scan(index: DataFrame, vectors: list, k: int, column: str) -> DataFrame:
             near = np.arange(len(scores))
         return near[np.lexsort((ords[near], -scores[near]))[:k]]
 
+    n = len(vectors)  # the lists themselves aren't sent beside the arrays
+
     def run(batches):
-        kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(vectors)
+        kept = [(np.zeros(0), np.zeros(0, np.int64))] * n
+        least = np.full(n, -np.inf)  # the last of k kept scores: only rows that reach it are looked at
         for b in batches:
             ords, lists = b.column(0).to_numpy(), b.column(1)
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
@@ -65,12 +70,19 @@ def _scan(index: DataFrame, vectors: list, k: int, column: str) -> DataFrame:
                 rows = np.flatnonzero(lengths == d)
                 if not len(rows):
                     continue
+                own = ords[rows]
                 v = flat[(ends[rows] - ends[0])[:, None] + np.arange(d)]
-                for i in range(0, len(at), 256):
-                    for j, scores in zip(at[i : i + 256], q[i : i + 256] @ v.T):
-                        s, o = np.concatenate([kept[j][0], scores]), np.concatenate([kept[j][1], ords[rows]])
+                some = max(1, SCORES // len(rows))
+                for i in range(0, len(at), some):
+                    scores = q[i : i + some] @ v.T
+                    reach = ~(scores < least[at[i : i + some], None])
+                    for x in np.flatnonzero(reach.any(axis=1)):
+                        j, y = at[i + x], np.flatnonzero(reach[x])
+                        s, o = np.concatenate([kept[j][0], scores[x, y]]), np.concatenate([kept[j][1], own[y]])
                         few = best(s, o)
                         kept[j] = s[few], o[few]
+                        if len(few) == k:
+                            least[j] = s[few[-1]]
         some = [i for i, (s, _) in enumerate(kept) if len(s)]
         for i in range(0, len(some), 1024):
             part = some[i : i + 1024]
@@ -88,7 +100,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, keys: list[str], colum
     spark, out = index.sparkSession, None
     kind = {f.name: f.dataType.simpleString() for f in queries.schema}
     for block, vectors in _blocks(queries, keys):
-        names = spark.createDataFrame([(i, *x) for i, x in enumerate(block)], "q int, " + ", ".join(f"`{c}` {kind[c]}" for c in keys))
+        # As an Arrow table: rows of Python would be read by Python workers of their own, which then stay idle on the executors.
+        columns = [pa.array(range(len(block)), pa.int32()), *(pa.array(c) for c in zip(*block))]
+        names = spark.createDataFrame(pa.Table.from_arrays(columns, ["q", *keys]), "q int, " + ", ".join(f"`{c}` {kind[c]}" for c in keys))
         found = _scan(index, vectors, k + (apart is not None), column).join(F.broadcast(names), "q")  # the block's names: BLOCK rows at most
         out = found if out is None else out.union(found)
     if out is None:
